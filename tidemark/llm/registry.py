@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import stored, table
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.mixing import mix_sources
+from tidemark.llm.simhash import fingerprints, near_duplicates
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +33,23 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = stored(fingerprints(table(spark, sf_dir, "documents"), words=4), "prints")
+    found = near_duplicates(prints, distance=4)
+    return found.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+    each = mixed.withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
+    return each.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source")
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_mixing_sources": op3_mixing_sources,
     }
 
 
