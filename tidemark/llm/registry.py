@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
+from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.secrets import find_secrets
 from tidemark.llm.simhash import fingerprints, near_duplicates
 
 
@@ -45,11 +47,30 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(F.col("doc").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_mixing_sources": op3_mixing_sources,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "op10_secret_scans": op10_secret_scans,
     }
 
 
