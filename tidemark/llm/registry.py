@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import new_path, stored, table
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.simhash import fingerprints, near_duplicates
+from tidemark.llm.warc import page_of, read_warc, write_warc
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,24 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path, least_bytes=1000)
+    found = read_warc(spark, path)
+    sound = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("unreadable capture "), "record_id", F.lit(": "), "error"))).otherwise(F.col("record_type"))
+    return found.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", sound.alias("record_type"), page_of("refers_to").alias("refers_to"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS leader FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < leader THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < leader THEN leader END AS refers_to
+FROM q
+"""
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +88,7 @@ def queries() -> dict:
         "op1_line_dedup": op1_line_dedup,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_mixing_sources": op3_mixing_sources,
+        "op4_warc": op4_warc,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_secret_scans": op10_secret_scans,
     }
@@ -77,4 +97,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op4_warc": OP4_SQL,
     }
