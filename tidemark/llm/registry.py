@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_path, stored, table
 from tidemark.llm.decontaminate import contaminated
+from tidemark.llm.language import identify, prototypes
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.quality import quality_score, train
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.simhash import fingerprints, near_duplicates
 from tidemark.llm.warc import page_of, read_warc, write_warc
@@ -66,6 +68,24 @@ FROM q
 """
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    trees = train(docs, labels.where(_remainder(5) != 0))
+    scored = docs.select("doc_id", (_remainder(5) == 0).alias("held_out"), quality_score(trees, F.col("text"), docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = prototypes(docs.where(_remainder(3) != 1))
+    found = identify(docs, model).withColumnRenamed("doc", "doc_id")
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +109,8 @@ def queries() -> dict:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_mixing_sources": op3_mixing_sources,
         "op4_warc": op4_warc,
+        "op5_quality_classifier": op5_quality_classifier,
+        "op6_language_id": op6_language_id,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_secret_scans": op10_secret_scans,
     }
