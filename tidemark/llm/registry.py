@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_path, stored, table
 from tidemark.llm.decontaminate import contaminated
+from tidemark.llm.imatch import as_string, fingerprint_with_edits
 from tidemark.llm.language import identify, prototypes
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix_sources
@@ -86,6 +87,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_with_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string(F.col("print")).alias("fingerprint"), as_string(F.col("edited_print")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -111,6 +119,7 @@ def queries() -> dict:
         "op4_warc": op4_warc,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_language_id": op6_language_id,
+        "op7_document_fingerprints": op7_document_fingerprints,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_secret_scans": op10_secret_scans,
     }
