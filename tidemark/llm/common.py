@@ -47,6 +47,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def session_constant(one: DataFrame) -> Column:
+    """The only value of a one-row, one-column frame as a session variable, which expressions inside array functions can
+    read. For values of a bounded size only."""
+    spark, name = one.sparkSession, f"constant_{uuid.uuid4().hex}"
+    one.createOrReplaceTempView(name)
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name}_value {one.dtypes[0][1]}")
+    spark.sql(f"SET VAR {name}_value = (SELECT * FROM {name})")
+    spark.catalog.dropTempView(name)
+    return F.expr(f"session.{name}_value")
+
+
 def global_rank(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
     """df with the 0-based position of each row in the order, without one task seeing all rows.
 

@@ -13,12 +13,10 @@ that fit its number of terms, so that two texts of like length have one in commo
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii
+from tidemark.llm.common import lower_ascii, session_constant
 
 SLOTS = 64
 #: Buckets of terms, as bits in words of 64.
@@ -48,17 +46,6 @@ def lexicon(texts: DataFrame, idf_band: tuple[float, float] = IDF_BAND) -> DataF
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
 
 
-def _as_variable(one: DataFrame) -> Column:
-    """The only value of a one-row frame as a session variable, which expressions inside array functions can read: a
-    constant of WORDS longs, whatever the corpus."""
-    spark, name = one.sparkSession, f"lexicon_{uuid.uuid4().hex}"
-    one.createOrReplaceTempView(name)
-    spark.sql(f"DECLARE OR REPLACE VARIABLE {name}_bits {one.dtypes[0][1]}")
-    spark.sql(f"SET VAR {name}_bits = (SELECT bits FROM {name})")
-    spark.catalog.dropTempView(name)
-    return F.expr(f"session.{name}_bits")
-
-
 def _kept(all_terms: Column, bits: Column) -> Column:
     def inside(t: Column) -> Column:
         bucket = F.pmod(t, F.lit(BUCKETS)).cast("int")
@@ -175,7 +162,7 @@ def fingerprint_with_edits(docs: DataFrame, idf_band: tuple[float, float] = IDF_
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    bits = _as_variable(lexicon(rows.select("text"), idf_band))
+    bits = session_constant(lexicon(rows.select("text"), idf_band))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     paired = with_next(rows, parts)
     # what the guests are compared with is their own fingerprint alone

@@ -14,6 +14,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import quality_score, train
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.simhash import fingerprints, near_duplicates
+from tidemark.llm.url_filter import judge_urls
 from tidemark.llm.warc import page_of, read_warc, write_warc
 
 
@@ -94,6 +95,10 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).withColumnRenamed("page", "page_id").drop("url")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -120,6 +125,7 @@ def queries() -> dict:
         "op5_quality_classifier": op5_quality_classifier,
         "op6_language_id": op6_language_id,
         "op7_document_fingerprints": op7_document_fingerprints,
+        "op8_url_filters": op8_url_filters,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_secret_scans": op10_secret_scans,
     }
