@@ -115,3 +115,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     taken = dealt.groupBy("source", "block").applyInPandas(_rounded(most), schema)
     facts = tilted.select("_source", "source_size", "target")
     return taken.join(facts, taken["source"].eqNullSafe(facts["_source"])).drop("_source")
+
+
+def attach_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with size, copies and taken (size times copies) from mix_sources(docs); input columns of these names are replaced."""
+    rest = docs.drop("size", "copies", "taken")
+    facts = mixed.select(F.col("doc").alias("_doc"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_doc")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_source")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_hash"))
+    return rest.join(facts, same).select(*rest.columns, "size", "copies", "taken")
