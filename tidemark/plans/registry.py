@@ -5,19 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under a name, with its oracle statement if SQL can express it."""
+def query(name: str, oracle: str | None = None, times: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query under a name, with its oracle statement if SQL can express it.
+
+    times: the result's dates and timestamps. Both sides give them as text to the microsecond, since open ends lie beyond
+    what data frames of other libraries can hold.
+    """
 
     def add(function: Query) -> Query:
-        _QUERIES[name] = function
+        def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(spark, sf_dir).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in times})
+
+        _QUERIES[name] = told if times else function
         if oracle:
-            _ORACLES[name] = oracle
+            parts = ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in times)
+            _ORACLES[name] = f"SELECT * REPLACE ({parts}) FROM ({oracle})" if times else oracle
         return function
 
     return add
