@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import columns_apart, global_rank, stored
 
 #: Documents that are rounded one after another.
-BLOCK = 1000
+BLOCK = 500
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -80,19 +79,17 @@ def tilts(counts: DataFrame, sources: DataFrame, most: float = 3, tolerance: flo
     return state.select(*sources.columns, "mean", "tilt")
 
 
-def _rounded(most: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["size", "text_hash", "doc"], ascending=[False, True, True], kind="stable")
-        behind, copies = 0.0, []
-        for size, rows, rate in zip(block["size"].tolist(), block["rows"].tolist(), block["rate"].tolist(), strict=True):
-            step = size * rows
-            due = rate * step + behind
-            n = min(most, max(0, round(due / step if step else rate)))
-            behind = due - n * step
-            copies.append(n)
-        return block.assign(copies=copies)[["doc", "source", "size", "text_hash", "rows", "rate", "copies"]]
+def _copies(block: Column, most: int) -> Column:
+    """Copies for the rows of a block, larger documents first: what one rounds off is carried to the next."""
 
-    return run
+    def follow(so_far: Column, x: Column) -> Column:
+        step = (x["size"] * x["rows"]).cast("double")
+        due = x["rate"] * step + so_far["behind"]
+        copies = F.least(F.lit(most), F.greatest(F.lit(0), F.round(F.when(step > 0, due / step).otherwise(x["rate"])).cast("int")))
+        return F.struct((due - copies * step).alias("behind"), F.concat(so_far["copies"], F.array(copies)).alias("copies"))
+
+    start = F.struct(F.lit(0.0).alias("behind"), F.array().cast("array<int>").alias("copies"))
+    return F.aggregate(block, start, follow, lambda x: x["copies"])
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -111,8 +108,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     joined = units.join(tilted, units["source"].eqNullSafe(tilted["_source"]))
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.lit(float(most)), F.exp(F.col("tilt") * F.col("size") / F.col("mean"))))
     dealt = joined.select("doc", "source", "size", "text_hash", "rows", rate.alias("rate"), F.pmod(F.xxhash64("doc", "text_hash"), F.col("blocks")).alias("block"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields if f.name != "block") + ", copies long"
-    taken = dealt.groupBy("source", "block").applyInPandas(_rounded(most), schema)
+    row = F.struct((-F.col("size")).alias("order"), "text_hash", "doc", "size", "rows", "rate")
+    blocks = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(row)).alias("block_rows"))
+    taken = blocks.select("source", "block_rows", _copies(F.col("block_rows"), most).alias("copies")).select("source", F.explode(F.arrays_zip("block_rows", "copies")).alias("x"))
+    taken = taken.select(*[F.col("x.block_rows")[c].alias(c) for c in ("doc", "size", "text_hash", "rows", "rate")], "source", F.col("x.copies").cast("long").alias("copies"))
     facts = tilted.select("_source", "source_size", "target")
     return taken.join(facts, taken["source"].eqNullSafe(facts["_source"])).drop("_source")
 
