@@ -42,6 +42,16 @@ def columns_apart(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """df with each row in one struct column, row: whatever its columns are called, they can't clash with others."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def unboxed(columns: list[str], replaced: dict[str, Column] | None = None) -> list[Column]:
+    """The boxed columns again, for a select; those in `replaced` with their new value."""
+    return [((replaced or {})[c] if c in (replaced or {}) else F.col("row").getField(c)).alias(c) for c in columns]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns_apart, stored
+from tidemark.llm.common import boxed, columns_apart, stored, unboxed
 
 #: Characters of items in one broadcast block; a larger benchmark takes more passes over the documents.
 BLOCK_CHARS = 8_000_000
@@ -177,7 +177,8 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold an item; their columns. Rows without an id stay only if their text is clean
     as well: they are matched under a hash of their text."""
-    key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
-    keyed = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    found = stored(contaminated(keyed, benchmark, error_rate).select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return docs.join(found, key == F.col("_key"), "left_anti")
+    rows = boxed(docs)
+    key = F.xxhash64(F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col))
+    keyed = rows.select(key.alias("doc_id"), F.col("row").getField(text_col).alias("text"))
+    found = stored(contaminated(keyed, benchmark, error_rate).select("doc_id").distinct(), "contaminated")
+    return rows.join(found, key == F.col("doc_id"), "left_anti").select(*unboxed(docs.columns))

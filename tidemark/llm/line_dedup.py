@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns_apart, new_path, stored
+from tidemark.llm.common import boxed, columns_apart, new_path, stored, unboxed
 
 KEY = ["h1", "h2"]
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -141,16 +141,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
         batch = lines if cut is None else lines.where(F.col("doc") > cut)
         runs.add(batch if above is None else batch.where(F.col("doc") <= above))
         above = cut
-    gone = runs.repeated(lines, min_docs).groupBy("doc", "text_hash").agg(F.collect_set("position").alias("_gone"))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash"), "_gone")
-    rest = docs.drop("n_lines", "n_dropped")
-    parts = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n", -1)
-    joined = rest.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col("_doc")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_text_hash")), "left")
-    joined = joined.withColumn("_lines", parts)
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return joined.select(
-        *[(kept.alias(c) if c == text_col else F.col(f"`{c}`")) for c in rest.columns],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    gone = runs.repeated(lines, min_docs).groupBy("doc", "text_hash").agg(F.collect_set("position").alias("gone"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = boxed(docs).withColumn("text", F.coalesce(F.col("row").getField(text_col), F.lit("")))
+    same = (F.col("row").getField(id_col).cast("long") == F.col("doc")) & (F.xxhash64("text") == F.col("text_hash"))
+    joined = rows.join(gone, same, "left").withColumn("parts", F.split("text", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("parts"), i)), "\n"))
+    return joined.select(*unboxed(columns, {text_col: kept}), F.size("parts").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns_apart, global_rank, stored
+from tidemark.llm.common import boxed, columns_apart, global_rank, stored, unboxed
 
 #: Documents that are rounded one after another.
 BLOCK = 500
@@ -118,7 +118,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
 
 def attach_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with size, copies and taken (size times copies) from mix_sources(docs); input columns of these names are replaced."""
-    rest = docs.drop("size", "copies", "taken")
-    facts = mixed.select(F.col("doc").alias("_doc"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_doc")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_source")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_hash"))
-    return rest.join(facts, same).select(*rest.columns, "size", "copies", "taken")
+    columns = [c for c in docs.columns if c not in ("size", "copies", "taken")]
+    facts = mixed.select("doc", "source", "text_hash", "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    own = F.col("row").getField
+    same = own(id_col).eqNullSafe(F.col("doc")) & own(source_col).eqNullSafe(F.col("source")) & (F.xxhash64(own(text_col)) == F.col("text_hash"))
+    return boxed(docs).join(facts, same).select(*unboxed(columns), "size", "copies", "taken")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns_apart, stored
+from tidemark.llm.common import boxed, columns_apart, stored, unboxed
 
 LEAF, FAN = 32, 8
 #: Fingerprints in a block of a group; a task holds two blocks at once.
@@ -317,14 +317,18 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(cosine) / math.pi
     limit = math.floor(256 * share + math.sqrt(256 * share * (1 - share)))
-    worded = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    prints = stored(fingerprints(docs.where(worded), words, id_col, text_col, distinct_words=True, sketch=True), "prints")
-    found = near_duplicates(prints, distance, limit).where("doc is not null and doc <> component").select(F.col("doc").alias("_doc")).distinct()
-    alive = docs.join(found, docs[id_col].cast("long") == found["_doc"], "left_anti")
-    twice = stored(prints.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 and doc is not null").select(F.col("doc").alias("_doc")), "repeats")
-    if twice.isEmpty():
-        return alive
-    one = Window.partitionBy(F.col(f"`{id_col}`"), worded).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    again = alive.join(twice, alive[id_col].cast("long") == twice["_doc"], "left_semi")
-    kept = again.withColumn("_one", F.row_number().over(one)).where((F.col("_one") == 1) | ~worded).drop("_one")
-    return alive.join(twice, alive[id_col].cast("long") == twice["_doc"], "left_anti").unionByName(kept)
+    def worded(text):
+        return F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+    prints = stored(fingerprints(docs.where(worded(F.col(f"`{text_col}`"))), words, id_col, text_col, distinct_words=True, sketch=True), "prints")
+    found = near_duplicates(prints, distance, limit).where("doc is not null and doc <> component").select("doc").distinct()
+    doc = F.col("row").getField(id_col).cast("long")
+    alive = boxed(docs).join(found, (doc == F.col("doc")) & worded(F.col("row").getField(text_col)), "left_anti")
+    twice = stored(prints.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 and doc is not null").select("doc"), "repeats")
+    if not twice.isEmpty():
+        alive = alive.withColumns({"id": doc, "worded": worded(F.col("row").getField(text_col)), "order": F.xxhash64("row")})
+        again = alive.join(twice, F.col("id") == F.col("doc"), "left_semi")
+        one = Window.partitionBy("id", "worded").orderBy("order")
+        kept = again.withColumn("nth", F.row_number().over(one)).where((F.col("nth") == 1) | ~F.col("worded"))
+        alive = alive.join(twice, F.col("id") == F.col("doc"), "left_anti").select("row").unionByName(kept.select("row"))
+    return alive.select(*unboxed(docs.columns))
