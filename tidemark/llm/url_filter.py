@@ -117,7 +117,8 @@ def threshold(scored: DataFrame) -> float:
     bins = scored.groupBy(F.round("score", 2).alias("bin")).agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each hundredth of a score
     every = Window.partitionBy()
-    rates = bins.select("bin", (1 - F.coalesce(F.sum("yes").over(below), F.lit(0)) / F.sum("yes").over(every)).alias("kept"), (F.coalesce(F.sum("no").over(below), F.lit(0)) / F.sum("no").over(every)).alias("cut"))
+    share = lambda c: F.try_divide(F.coalesce(F.sum(c).over(below), F.lit(0)), F.sum(c).over(every))
+    rates = bins.select("bin", (1 - share("yes")).alias("kept"), share("no").alias("cut"))
     best = rates.where("kept is not null and cut is not null").orderBy((-(F.col("kept") + F.col("cut"))), F.abs("bin"), "bin").first()
     return float(best["bin"]) - 0.005 if best else 0.0
 
