@@ -179,11 +179,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         payloads, lengths, digests, errors = [], [], [], []
-        columns = [batch.column(c).to_pylist() for c in ("record_type", "digest", "payload_length", "block", "error")]
-        for kind, digest, length, block, error in zip(*columns, strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("record_type", "digest", "payload_length", "blocks", "error")]
+        for kind, digest, length, blocks, error in zip(*columns, strict=True):
             body = None
             if error is None and kind == "response":
-                head, _, body = block.partition(RECORD_END)
+                head, _, body = b"".join(blocks).partition(RECORD_END)
                 try:
                     body = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
                 except ValueError as broken:
@@ -208,7 +208,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     shuffled, by the identifier of their origin. Records that were written twice, segments and all, are read twice.
     """
     rows = read_records(spark, path)
-    whole = rows.where("segment is null").select("record_id", "record_type", "target_uri", "refers_to", "digest", "payload_length", "block", F.lit(None).cast("string").alias("error"))
+    whole = rows.where("segment is null").select("record_id", "record_type", "target_uri", "refers_to", "digest", "payload_length", F.array("block").alias("blocks"), F.lit(None).cast("string").alias("error"))
     parts = rows.where("segment is not null").groupBy("origin_id").agg(
         F.max(F.struct(F.col("segment") == 1, "record_type", "target_uri", "refers_to", "digest", "payload_length")).alias("first"),
         F.max("total").alias("total"), F.max("segment").alias("last"), F.count_if(F.col("segment") == 1).alias("copies"),
@@ -216,11 +216,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     # equal records share their segments; one of each number is enough
     found = F.filter("found", lambda x, i: (i == 0) | (F.get(F.col("found"), i - 1)["segment"] != x["segment"]))
     parts = parts.withColumn("found", found)
-    block = F.aggregate("found", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"]))
-    wrong = F.when((F.col("copies") == 0) | (F.size("found") != F.col("last")), "segments are missing").when(F.col("total").isNull() | (F.octet_length("block") != F.col("total")), "the segments don't have the total length")
-    parts = parts.withColumn("block", block).withColumn("error", wrong)
+    length = F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["block"]))
+    wrong = F.when((F.col("copies") == 0) | (F.size("found") != F.col("last")), "segments are missing").when(F.col("total").isNull() | (length != F.col("total")), "the segments don't have the total length")
+    parts = parts.withColumns({"blocks": F.transform("found", lambda x: x["block"]), "error": wrong})
     parts = parts.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.greatest(F.col("copies"), F.lit(1)).cast("int"))))
-    parts = parts.select(F.col("origin_id").alias("record_id"), "first.record_type", "first.target_uri", "first.refers_to", "first.digest", "first.payload_length", "block", "error")
+    parts = parts.select(F.col("origin_id").alias("record_id"), "first.record_type", "first.target_uri", "first.refers_to", "first.digest", "first.payload_length", "blocks", "error")
     schema = "record_id string, record_type string, target_uri string, refers_to string, payload binary, payload_bytes long, payload_digest string, error string"
     return whole.unionByName(parts).mapInArrow(_decoded, schema)
 
