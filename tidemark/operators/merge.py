@@ -249,29 +249,29 @@ class TemporalMerge:
         return self.judged.where("_skip is null and _f < _u")
 
     @cached_property
-    def resolved(self) -> DataFrame:
-        """The coalesced pieces: _g, _f, _u, _from (start of the target row that it comes from), _c_* payload, row_ids, ..."""
-        spec, active = self.spec, self._active
+    def _pieces(self) -> DataFrame:
         ends = lambda df, f, u: df.select("_g", F.explode(F.array(f, u)).alias("_p"))
-        pieces = _pieces(ends(active, "_f", "_u").unionByName(ends(self._scope, "_tf", "_tu")), "_g")
-        near = pieces.join(active.drop("_new", "_error", "_skip", *[f"_e_{c}" for c in spec.entity], *[f"_l_{c}" for c in spec.lookup]), "_g", "left").where("_rid is null or (_f <= _n and _u >= _p)")
-        # the inner filter may drop pieces that no source row is near, so they are joined back below
+        return self._hold(_pieces(ends(self._active, "_f", "_u").unionByName(ends(self._scope, "_tf", "_tu")), "_g"))
+
+    def _near(self, *columns: str) -> DataFrame:
+        """Pieces with the source rows that cover or touch them."""
+        sides = self._active.select(F.col("_g").alias("_sg"), "_rid", "_f", "_u", *columns)
+        return self._pieces.join(sides, (F.col("_g") == F.col("_sg")) & (F.col("_f") <= F.col("_n")) & (F.col("_u") >= F.col("_p"))).drop("_sg")
+
+    @cached_property
+    def marked(self) -> DataFrame:
+        """The pieces of the new history, with the block that each belongs to."""
+        spec, active = self.spec, self._active
         covers, touches = "_f <= _p and _u >= _n", "_f = _n or _u = _p"
-        aggregates = [
-            F.expr(f"count_if({covers})").alias("_covering"),
-            F.expr(f"sort_array(collect_set(_rid) filter (where {covers}))").alias("_rids"),
-            F.expr(f"min(_rid) filter (where {touches})").alias("_next_to"),
-            F.expr(f"max_by(struct(_f, _u), _rid) filter (where {covers})").alias("_period"),
-            F.expr(f"max_by(_causal, _rid) filter (where {covers})").alias("_by"),
-        ]
-        for c in self.given:
-            keep_old = c not in spec.ephemeral and (spec.patch or c in spec.required)
-            only = f" and `_s_{c}` is not null" if keep_old else ""
-            aggregates.append(F.expr(f"max_by(`_s_{c}`, _rid) filter (where {covers}{only})").alias(f"_s_{c}"))
-        gathered = near.groupBy("_g", "_p").agg(*aggregates)
+        kept_old = [c for c in self.given if c not in spec.ephemeral and (spec.patch or c in spec.required)]
+        # numbers alone are gathered here, which aggregate fast; what the last row says is looked up by its number
+        gathered = self._near(*[f"_s_{c}" for c in kept_old]).groupBy("_g", "_p").agg(
+            F.expr(f"count_if({covers})").alias("_covering"), F.expr(f"max(_rid) filter (where {covers})").alias("_last"), F.expr(f"min(_rid) filter (where {touches})").alias("_next_to"),
+            *[F.expr(f"max_by(`_s_{c}`, _rid) filter (where {covers} and `_s_{c}` is not null)").alias(f"_s_{c}") for c in kept_old])
+        last = active.select(F.col("_rid").alias("_lrid"), F.struct("_f", "_u").alias("_period"), F.col("_causal").alias("_by"), *[f"_s_{c}" for c in self.given if c not in kept_old])
         facts = active.groupBy("_g").agg(F.min("_rid").alias("_first_rid"), F.min("_causal").alias("_cause"))
         t = self._scope.drop(*[f"_e_{c}" for c in spec.entity]).withColumnRenamed("_g", "_tg")
-        found = pieces.join(gathered, ["_g", "_p"], "left").join(facts, "_g", "left")
+        found = self._pieces.join(gathered, ["_g", "_p"], "left").join(facts, "_g", "left")
         found = found.join(t, (F.col("_g") == F.col("_tg")) & (F.col("_tf") <= F.col("_p")) & (F.col("_tu") >= F.col("_n")), "left").drop("_tg")
         sourced, targeted = F.coalesce(F.col("_covering") > 0, F.lit(False)), F.col("_tf").isNotNull()
         found = found.withColumns({"_sourced": sourced, "_targeted": targeted, "_entity_active": F.col("_first_rid").isNotNull()})
@@ -282,9 +282,11 @@ class TemporalMerge:
             found = found.where("_sourced or not _entity_active")
         if spec.deletes_entities:
             found = found.where("_entity_active")
+        # pieces without a source row get keys of their own, so that they don't meet in one task
+        key = F.coalesce(F.col("_last"), -F.abs(F.xxhash64("_g", "_p")) - F.lit(1))
+        found = found.withColumn("_key", key).join(last, (F.col("_key") == F.col("_lrid")) & F.col("_last").isNotNull(), "left").drop("_key", "_lrid")
         found = found.select(
-            "_g", "_p", "_n", "_sourced", "_tf", "_tu", "_cause", "_by",
-            F.when(F.col("_sourced"), F.array(F.array_max("_rids")) if spec.last_only else F.col("_rids")).when(F.col("_entity_active"), F.array(F.coalesce("_next_to", "_first_rid"))).otherwise(F.array().cast("array<long>")).alias("_rids"),
+            "_g", "_p", "_n", "_sourced", "_tf", "_cause", "_by", "_last", F.when(F.col("_entity_active"), F.coalesce("_next_to", "_first_rid")).alias("_beside"),
             F.when(F.col("_sourced") & targeted, allen(F.col("_period._f"), F.col("_period._u"), F.col("_tf"), F.col("_tu"))).alias("_st"),
             *[self._value(c).alias(f"_c_{c}") for c in self.payload])
         own = Window.partitionBy("_g").orderBy("_p")
@@ -292,13 +294,30 @@ class TemporalMerge:
         for c in self.data:
             same = same & F.lag(self._comparable(f"_c_{c}")).over(own).eqNullSafe(self._comparable(f"_c_{c}"))
         found = found.withColumn("_start", F.when(same, 0).otherwise(1))
-        found = found.withColumn("_block", F.sum("_start").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-        blocks = found.groupBy("_g", "_block").agg(
-            F.min("_p").alias("_f"), F.max("_n").alias("_u"), F.expr("min_by(_tf, _p) filter (where _tf is not null)").alias("_from"), F.max("_sourced").alias("_sourced"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("_rids")))).alias("row_ids"), F.expr("min_by(_st, _p) filter (where _st is not null)").alias("s_t_relation"),
-            F.first("_cause").alias("_cause"), F.expr("min_by(_by, _p) filter (where _by is not null)").alias("_by"),
-            *[(F.max_by(f"_c_{c}", "_p") if c in spec.ephemeral else F.min_by(f"_c_{c}", "_p")).alias(f"_c_{c}") for c in self.payload])
-        return self._hold(blocks.drop("_block"))
+        return self._hold(found.withColumn("_block", F.sum("_start").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_start"))
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        """The coalesced pieces, one row for each block: _g, _block, _f, _u, _from (start of the target row that it comes from), _c_* payload, ..."""
+        # a block's values are those of its first piece, its ephemeral ones those of its last
+        spec = self.spec
+        whole = Window.partitionBy("_g", "_block").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        blocks = self.marked.withColumns({
+            "_f": F.first("_p").over(whole), "_u": F.last("_n").over(whole), "_from": F.first("_tf", ignorenulls=True).over(whole), "_any": F.max("_sourced").over(whole),
+            "s_t_relation": F.first("_st", ignorenulls=True).over(whole), "_by": F.first("_by", ignorenulls=True).over(whole), **{f"_c_{c}": F.last(f"_c_{c}").over(whole) for c in spec.ephemeral},
+            "_nth": F.row_number().over(Window.partitionBy("_g", "_block").orderBy("_p"))}).where("_nth = 1")
+        return self._hold(blocks.select("_g", "_block", "_f", "_u", "_from", F.col("_any").alias("_sourced"), "s_t_relation", "_cause", "_by", *[f"_c_{c}" for c in self.payload]))
+
+    @cached_property
+    def _row_ids(self) -> DataFrame:
+        """The source rows behind each block: those that cover a piece (the last alone in modes where it answers), or for
+        pieces of the target alone one beside them."""
+        ours = self.marked.select("_g", "_block", "_p", "_sourced", "_last", "_beside")
+        if not self.spec.last_only:
+            over = self._near().where("_f <= _p and _u >= _n").select("_g", "_p", "_rid")
+            ours = ours.join(over, ["_g", "_p"], "left").withColumn("_last", F.col("_rid"))
+        named = ours.groupBy("_g", "_block").agg(F.array_sort(F.collect_set(F.coalesce("_last", "_beside"))).alias("row_ids"))
+        return named
 
     def _comparable(self, name: str) -> Column:
         column = name.removeprefix("_c_").removeprefix("_t_")
@@ -356,7 +375,8 @@ class TemporalMerge:
         """
         spec = self.spec
         t = self._scope.withColumnRenamed("_g", "_tg").drop(*[f"_e_{c}" for c in spec.entity])
-        both = self.resolved.join(t, (F.col("_g") == F.col("_tg")) & (F.col("_from") == F.col("_tf")), "full")
+        blocks = self.resolved.join(self._row_ids, ["_g", "_block"])
+        both = blocks.join(t, (F.col("_g") == F.col("_tg")) & (F.col("_from") == F.col("_tf")), "full")
         both = both.withColumn("_g", F.coalesce("_g", "_tg"))
         equal = lambda columns: reduce(lambda a, b: a & b, [self._comparable(f"_c_{c}").eqNullSafe(self._comparable(f"_t_{c}")) for c in columns], F.lit(True))
         both = both.withColumns({"_same_data": equal(self.data), "_same_all": equal(self.payload)})
