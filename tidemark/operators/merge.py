@@ -476,8 +476,9 @@ def _numbered(rows: DataFrame, order: str, tie: str) -> DataFrame:
     return ranked.withColumn("_number", F.col("_number") + 1)
 
 
-def temporal_merge(target: DataFrame, source: DataFrame, persist: bool = False, **spec) -> TemporalMerge:
-    """Merge source into target; the keywords are those of MergeSpec."""
+def temporal_merge(target: DataFrame, source: DataFrame, persist: bool = True, **spec) -> TemporalMerge:
+    """Merge source into target; the keywords are those of MergeSpec. The shared steps are kept until release() unless
+    persist is false; without it plan and feedback work them out again and again."""
     spec = {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in spec.items()}
     merge = TemporalMerge(target, source, MergeSpec(**spec))
     return merge.persist() if persist else merge
