@@ -83,3 +83,12 @@ def test_empty_table_and_odd_rows(spark, tmp_path):
     rows = [(1, prose(1)), (2, None), (2, ""), (3, prose(1)), (4, prose(4) + " " + prose(77, 30)), (None, prose(5)), (6, "w " * 20_000)]
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, write(rows)).collect()}
     assert 3 not in ids and 4 not in ids
+
+
+def test_of_copies_emptied_by_lines_one_is_left(spark, tmp_path):
+    text = "\n".join(prose(k, 20) for k in range(8))
+    spark.createDataFrame([(1, prose(77, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs(spark, [(i, text) for i in range(10, 17)] + [(i, prose(i)) for i in range(3)])
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        now = stored(stage(spark, now, str(tmp_path)))
+    assert sorted(r["doc_id"] for r in now.collect() if not r["text"]) == [10]

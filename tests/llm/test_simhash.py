@@ -6,7 +6,7 @@ from tests.llm.helpers import docs, prose
 
 from tidemark.llm.common import table
 from tidemark.llm.registry import op2_simhash_near_dedup
-from tidemark.llm.simhash import components, drop_near_duplicates, fingerprint, fingerprints, gray_rank, linked_parts, near_duplicates, segment_masks
+from tidemark.llm.simhash import components, drop_near_duplicates, fingerprint, fingerprints, gray_rank, linked_parts, near_duplicates, one_without_words, segment_masks
 
 
 def plain(text, words=4):
@@ -96,3 +96,11 @@ def test_one_of_each_group_stays(spark):
     assert sorted((str(r["doc_id"]) for r in kept.collect())) == ["1", "2", "6", "7", "None"]
     assert kept.columns == docs(spark, rows, extra=True).columns
     assert drop_near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_one_text_without_words_stays(spark):
+    rows = [(5, ""), (3, None), (3, " \n"), (4, "\t"), (None, ""), (1, "one"), (2, "two")]
+    kept = one_without_words(docs(spark, rows, extra=True))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "None"]
+    assert kept.columns == docs(spark, rows, extra=True).columns
+    assert one_without_words(docs(spark, [])).count() == 0

@@ -332,3 +332,13 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
         kept = again.withColumn("nth", F.row_number().over(one)).where((F.col("nth") == 1) | ~F.col("worded"))
         alive = alive.join(twice, F.col("id") == F.col("doc"), "left_anti").select("row").unionByName(kept.select("row"))
     return alive.select(*unboxed(docs.columns))
+
+
+def one_without_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row left of all texts without words (null, empty, white space): that with the smallest id, of rows
+    that repeat it the first by its columns' hash. Rows without an id stay. The columns are those of docs."""
+    rows = boxed(docs)
+    doc, text = (F.col("row").getField(c) for c in (id_col, text_col))
+    worded = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    one = rows.where(~worded & doc.isNotNull()).agg(F.min_by("row", F.struct(doc.cast("long"), F.xxhash64("row"))).alias("row")).where("row is not null")
+    return rows.where(worded | doc.isNull()).unionByName(one).select(*unboxed(docs.columns))
