@@ -104,3 +104,17 @@ def test_one_text_without_words_stays(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "None"]
     assert kept.columns == docs(spark, rows, extra=True).columns
     assert one_without_words(docs(spark, [])).count() == 0
+
+
+def test_cut_and_extended_copies_are_linked_by_exact_similarity(spark, monkeypatch):
+    from tidemark.llm import simhash
+
+    r, rows, want = random.Random(5), [], set()
+    for k in range(60):  # alike over 0.8, or just under it
+        base = prose(100 + k, r.randint(70, 250)).split()
+        n, other = len(base), prose(900 + k, 400).split()
+        for j, text in enumerate((base, base[: n - n // 8], base + other[: n // 6], base[n // 4 :], base + other[: n // 2])):
+            rows.append((10 * k + j, " ".join(text)))
+        want |= {10 * k, 10 * k + 3, 10 * k + 4}
+    monkeypatch.setattr(simhash, "TEXTS", 2)
+    assert {x["doc_id"] for x in drop_near_duplicates(docs(spark, rows)).collect()} == want

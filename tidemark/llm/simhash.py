@@ -28,6 +28,10 @@ BLOCK = 2048
 #: Fingerprints that a key should have on average, for the choice of `agree`.
 GROUP = 1024
 SEED = 42
+#: Keys of MinHash that bring similar texts together: at a similarity of 0.8 all BANDS of BAND_ROWS miss one pair in 1,300.
+BANDS, BAND_ROWS = 10, 3
+#: Texts of a part in a block of a group; a task holds the shingles of two blocks at once.
+TEXTS = 512
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -65,16 +69,26 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def min_bands(hashes: np.ndarray) -> list[int]:
+    """BANDS keys (signed), each of BAND_ROWS smallest values under hashes of the shingles; two texts agree in one of them with
+    a chance of their similarity to the power of BAND_ROWS, whatever their lengths."""
+    lows = np.empty(BANDS * BAND_ROWS, np.uint64)
+    for k in range(len(lows)):
+        x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        lows[k] = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)).min()
+    return [int(np.int64(np.uint64(xxhash.xxh64_intdigest(row.tobytes(), SEED)).view(np.int64))) for row in lows.reshape(BANDS, BAND_ROWS)]
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """The SimHash of a text, unsigned; 0 if it has no words."""
     hashes = shingle_hashes((text or "").encode(), words)
     return int(majority(hashes[:, None])[0]) if len(hashes) else 0
 
 
-def _fingerprints(words: int, distinct_words: bool, sketch: bool):
+def _fingerprints(words: int, distinct_words: bool, sketch: bool, bands: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sketches = [], []
+            prints, sketches, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 raw = (text or "").encode()
                 hashes = shingle_hashes(raw, words)
@@ -82,20 +96,25 @@ def _fingerprints(words: int, distinct_words: bool, sketch: bool):
                 prints.append(int(majority(own[:, None]).view(np.int64)[0]) if len(own) else 0)
                 if sketch:
                     sketches.append(majority(_mixed(np.unique(hashes))).tobytes() if len(hashes) else bytes(32))
-            columns = [batch.column(0), pa.array(prints, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(sketches, pa.binary())] * sketch, ["doc", "print"] + ["sketch"] * sketch)
+                if bands:
+                    keys.append(min_bands(np.unique(hashes)) if len(hashes) else [])
+            columns = [batch.column(0), pa.array(prints, pa.int64())] + [pa.array(sketches, pa.binary())] * sketch
+            if bands:
+                columns += [batch.column(2), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "print"] + ["sketch"] * sketch + ["text_hash", "bands"] * bands)
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", distinct_words: bool = False, sketch: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", distinct_words: bool = False, sketch: bool = False, bands: bool = False) -> DataFrame:
     """doc and print (a signed long with the 64 bits) of every row; a null text has no words and the print 0.
 
     distinct_words: the print is that of the text's distinct words instead of its shingles, and so moves less when a few
-    words change. sketch: also a 256-bit SimHash of the distinct shingles, as binary.
+    words change. sketch: also a 256-bit SimHash of the distinct shingles, as binary. bands: also text_hash and min_bands().
     """
-    rows = columns_apart(docs, id_col, text_col).toDF("doc", "text").select(F.col("doc").cast("long"), "text")
-    return rows.mapInArrow(_fingerprints(words, distinct_words, sketch), "doc long, print long" + ", sketch binary" * sketch)
+    rows = columns_apart(docs, id_col, text_col).toDF("doc", "text").select(F.col("doc").cast("long"), "text", *[F.xxhash64("text")] * bands)
+    schema = "doc long, print long" + ", sketch binary" * sketch + ", text_hash long, bands array<long>" * bands
+    return rows.mapInArrow(_fingerprints(words, distinct_words, sketch, bands), schema)
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -191,15 +210,41 @@ def linked_parts(prints: np.ndarray, distance: int, sketches: np.ndarray | None
     return out
 
 
-def _group_links(distance: int, sketch_distance: int | None):
+def similar_parts(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set (distinct values) the index of the first one of its connected part, links being pairs whose exact
+    Jaccard similarity is `similarity` or more."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owners = np.repeat(np.arange(n), sizes)[np.argsort(codes, kind="stable")]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(codes))))
+    ends = np.cumsum(sizes)
+    parts = _Parts(n)
+    for i in range(n):
+        if (parts.of[i + 1 :] == parts.of[i]).all():
+            continue
+        own = codes[ends[i] - sizes[i] : ends[i]]
+        held = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        shared = np.bincount(owners[at], minlength=n)
+        close = np.nonzero(shared >= similarity * (sizes[i] + sizes - shared) - 1e-9)[0]
+        parts.join(np.full(len(close), i), close)
+    return parts.of
+
+
+def _group_links(sketch_distance: int | None = None, similarity: float | None = None):
+    """Links of the rows of each group: by print (and sketch) within the group's reach, or by the shingles if similarity is given."""
+
     def links(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        sketches = None if sketch_distance is None else rows["sketch"]
-        root = linked_parts(rows["print"].view(np.uint64), distance, sketches, sketch_distance or 0)
+        if similarity is None:
+            root = linked_parts(rows["print"].view(np.uint64), int(rows["reach"][0]), rows.get("sketch"), sketch_distance or 0)
+        else:
+            root = similar_parts([np.frombuffer(x, np.uint64) for x in rows["shingles"]], similarity)
         moved = root != np.arange(len(root))
         return rows["rep"][moved], rows["rep"][root[moved]]
 
     def arrays(batch: pa.RecordBatch) -> dict:
-        out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "print", "rep")}
+        out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "sketch"}
         if sketch_distance is not None:
             out["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
         return out
@@ -250,23 +295,50 @@ def segment_masks(n: int, distance: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(bits, agree)]
 
 
-def links(nodes: DataFrame, distance: int, sketch_distance: int | None = None) -> DataFrame:
-    """Links a > b between the reps of nodes (print, rep, and sketch if it counts) that span every connected part."""
-    masks = segment_masks(nodes.count(), distance)
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    carried = ["print", "rep"] + ["sketch"] * (sketch_distance is not None)
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("print").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    keyed = nodes.select(*carried, F.explode(tables).alias("k")).select(*carried, "k.t", "k.key")
-    large = keyed.groupBy("t", "key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    large = large.select("t", "key", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
+def _search(keyed: DataFrame, carried: list[str], block: int, find) -> DataFrame:
+    """The links a > b that find gives for the rows (carried, t, key) of each group (t, key); a group of more than `block`
+    rows is searched by pairs of blocks."""
+    large = keyed.groupBy("t", "key").agg(F.count("*").alias("size")).where(F.col("size") > block)
+    large = large.select("t", "key", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks"))
     rows = keyed.join(large, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("print", "rep"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
     rows = rows.withColumn("own", own).select(*carried, "t", "key", "own", F.explode(others).alias("other"))
     # a 64-bit hash of the group: two groups under one hash would only be searched together
     rows = rows.select(*carried, F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
     rows = rows.repartition("group").sortWithinPartitions("group").select("group", *carried)
-    return rows.mapInArrow(_group_links(distance, sketch_distance), "a long, b long")
+    return rows.mapInArrow(find, "a long, b long")
+
+
+def links(nodes: DataFrame, distance: int, sketch_distance: int | None = None, bands: bool = False) -> DataFrame:
+    """Links a > b between the reps of nodes (print, rep, and sketch if it counts) that span every connected part. bands:
+    nodes that agree in one of their bands are linked by their sketches alone, however far their prints are apart."""
+    masks = segment_masks(nodes.count(), distance)
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    carried = ["print", "rep"] + ["sketch"] * (sketch_distance is not None)
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("print").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
+    if bands:
+        tables = F.concat(tables, F.transform("bands", lambda key, i: F.struct((i + len(masks)).alias("t"), key.alias("key"))))
+    keyed = nodes.select(*carried, F.explode(tables).alias("k")).select(*carried, "k.t", "k.key")
+    keyed = keyed.withColumn("reach", F.when(F.col("t") < len(masks), distance).otherwise(64))
+    return _search(keyed, [*carried, "reach"], BLOCK, _group_links(sketch_distance))
+
+
+def _shingle_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [np.unique(shingle_hashes(x.encode(), words)).tobytes() for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("rep"), pa.array(sets, pa.binary())], ["key", "rep", "shingles"])
+
+    return run
+
+
+def exact_links(texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links a > b that span the parts of texts (rep, key, text) whose exact similarity is enough, within each key."""
+    sets = stored(texts.select("key", "rep", "text").mapInArrow(_shingle_sets(words), "key long, rep long, shingles binary"), "shingles")
+    return _search(sets.withColumn("t", F.lit(0)), ["rep", "shingles"], TEXTS, _group_links(similarity=similarity))
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -309,19 +381,34 @@ def near_duplicates(prints: DataFrame, distance: int = 4, sketch_distance: int |
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row left of each group of near-duplicates: that with the smallest id.
 
-    Candidates are texts whose SimHash of distinct words is within `distance` bits; they are linked if their 256-bit
-    SimHashes of word shingles put their similarity (Jaccard) at `similarity` or more, with one standard deviation of the
-    estimate in their favour. Of rows that repeat the smallest id one stays, the first by its other columns' hash; rows
-    without an id stay, as do texts without words (they have nothing to compare). The columns are those of docs.
+    Texts are linked if the exact similarity (Jaccard) of their sets of word shingles is `similarity` or more; what links
+    reach is a group. Candidates agree in a band of MinHash, or in the SimHash of distinct words within `distance` bits, and
+    their 256-bit SimHashes of shingles lie no more than five standard deviations beyond what the similarity gives. Candidates
+    that hang together are compared exactly, each with all others that aren't linked yet. Of rows that repeat the smallest
+    id one stays, the first by its other columns' hash; rows without an id stay, as do texts without words (they have nothing
+    to compare). The columns are those of docs.
     """
+    # for texts of other lengths the angle between the sets is smaller at the same similarity, so the limit holds for them too
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(cosine) / math.pi
-    limit = math.floor(256 * share + math.sqrt(256 * share * (1 - share)))
+    limit = math.floor(256 * share + 5 * math.sqrt(256 * share * (1 - share)))
     def worded(text):
         return F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
 
-    prints = stored(fingerprints(docs.where(worded(F.col(f"`{text_col}`"))), words, id_col, text_col, distinct_words=True, sketch=True), "prints")
-    found = near_duplicates(prints, distance, limit).where("doc is not null and doc <> component").select("doc").distinct()
+    prints = stored(fingerprints(docs.where(worded(F.col(f"`{text_col}`"))), words, id_col, text_col, distinct_words=True, sketch=True, bands=True), "prints")
+    named = prints.where("doc is not null").withColumn("rep", F.xxhash64("print", "sketch"))
+    first = F.min(F.struct("doc", "text_hash")).alias("first")
+    nodes = stored(named.groupBy("rep", "print", "sketch").agg(first, F.min("bands").alias("bands")), "nodes")
+    roots = stored(components(links(nodes, distance, limit, bands=True)), "candidates")
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    wanted = nodes.join(roots, nodes["rep"] == roots["node"]).select("rep", F.col("root").alias("key"), "first.doc", "first.text_hash")
+    texts = columns_apart(docs, id_col, text_col).toDF("doc", "text").select(F.col("doc").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    roots = components(exact_links(texts.join(wanted, ["doc", "text_hash"]), similarity, words))
+    groups = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("rep", "first", F.coalesce("root", "rep").alias("root"))
+    groups = stored(groups, "groups")
+    least = groups.groupBy("root").agg(F.min("first").alias("kept"))
+    groups = groups.join(least, "root").select("rep", F.col("kept.doc").alias("kept"))
+    found = named.join(groups, "rep").where("doc <> kept").select("doc").distinct()
     doc = F.col("row").getField(id_col).cast("long")
     alive = boxed(docs).join(found, (doc == F.col("doc")) & worded(F.col("row").getField(text_col)), "left_anti")
     twice = stored(prints.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 and doc is not null").select("doc"), "repeats")
