@@ -118,3 +118,10 @@ def test_cut_and_extended_copies_are_linked_by_exact_similarity(spark, monkeypat
         want |= {10 * k, 10 * k + 3, 10 * k + 4}
     monkeypatch.setattr(simhash, "TEXTS", 2)
     assert {x["doc_id"] for x in drop_near_duplicates(docs(spark, rows)).collect()} == want
+
+
+def test_rows_that_share_an_id_go_by_their_texts(spark):
+    a, b, c = prose(21, 200), prose(22, 200), prose(23, 200)
+    rows = [(1, a), (5, a + " more"), (5, b), (5, c), (5, c), (7, b), (7, b + " more"), (8, None), (8, a)]
+    kept = [(r["doc_id"], r["text"]) for r in drop_near_duplicates(docs(spark, rows, extra=True)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (5, b), (5, c), (8, None)], key=str)

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import boxed, columns_apart, stored, unboxed
@@ -384,9 +384,9 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     Texts are linked if the exact similarity (Jaccard) of their sets of word shingles is `similarity` or more; what links
     reach is a group. Candidates agree in a band of MinHash, or in the SimHash of distinct words within `distance` bits, and
     their 256-bit SimHashes of shingles lie no more than five standard deviations beyond what the similarity gives. Candidates
-    that hang together are compared exactly, each with all others that aren't linked yet. Of rows that repeat the smallest
-    id one stays, the first by its other columns' hash; rows without an id stay, as do texts without words (they have nothing
-    to compare). The columns are those of docs.
+    that hang together are compared exactly, each with all others that aren't linked yet. Rows go by id and text: of rows
+    that repeat an id only equal or linked texts are reduced, to the first by the hash of the text and then of the row. Rows
+    without an id stay, as do texts without words (they have nothing to compare). The columns are those of docs.
     """
     # for texts of other lengths the angle between the sets is smaller at the same similarity, so the limit holds for them too
     cosine = 2 * similarity / (1 + similarity)
@@ -407,17 +407,16 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     groups = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("rep", "first", F.coalesce("root", "rep").alias("root"))
     groups = stored(groups, "groups")
     least = groups.groupBy("root").agg(F.min("first").alias("kept"))
-    groups = groups.join(least, "root").select("rep", F.col("kept.doc").alias("kept"))
-    found = named.join(groups, "rep").where("doc <> kept").select("doc").distinct()
-    doc = F.col("row").getField(id_col).cast("long")
-    alive = boxed(docs).join(found, (doc == F.col("doc")) & worded(F.col("row").getField(text_col)), "left_anti")
-    twice = stored(prints.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 and doc is not null").select("doc"), "repeats")
+    groups = groups.join(least, "root").select("rep", "kept")
+    found = named.join(groups, "rep").where("doc <> kept.doc or text_hash <> kept.text_hash").select("doc", "text_hash").distinct()
+    doc, text = F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col)
+    keyed = boxed(docs).withColumns({"doc": doc, "text_hash": F.xxhash64(text)})
+    alive = keyed.join(found, ["doc", "text_hash"], "left_anti")
+    twice = named.groupBy("doc", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc", "text_hash")
+    twice = stored(twice, "repeats")
     if not twice.isEmpty():
-        alive = alive.withColumns({"id": doc, "worded": worded(F.col("row").getField(text_col)), "order": F.xxhash64("row")})
-        again = alive.join(twice, F.col("id") == F.col("doc"), "left_semi")
-        one = Window.partitionBy("id", "worded").orderBy("order")
-        kept = again.withColumn("nth", F.row_number().over(one)).where((F.col("nth") == 1) | ~F.col("worded"))
-        alive = alive.join(twice, F.col("id") == F.col("doc"), "left_anti").select("row").unionByName(kept.select("row"))
+        one = alive.join(twice, ["doc", "text_hash"], "left_semi").groupBy("doc", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        alive = alive.join(twice, ["doc", "text_hash"], "left_anti").select("row").unionByName(one.select("row"))
     return alive.select(*unboxed(docs.columns))
 
 
