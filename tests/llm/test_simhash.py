@@ -6,7 +6,7 @@ from tests.llm.helpers import docs, prose
 
 from tidemark.llm.common import table
 from tidemark.llm.registry import op2_simhash_near_dedup
-from tidemark.llm.simhash import components, drop_near_duplicates, fingerprint, fingerprints, gray_rank, linked_parts, near_duplicates, one_without_words, segment_masks
+from tidemark.llm.simhash import components, descend, drop_near_duplicates, fingerprint, fingerprints, gray_rank, linked_parts, near_duplicates, segments, shingle_set, sketch_parts, word_hashes
 
 
 def plain(text, words=4):
@@ -48,29 +48,66 @@ def test_gray_order_and_index():
     prints += [p ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for p in prints for _ in range(3)]
     assert linked_parts(np.array(prints, np.uint64), 4).tolist() == brute_parts(prints, 4)
     assert linked_parts(np.array(prints[:20], np.uint64), 4).tolist() == brute_parts(prints[:20], 4)
+    dense = [prints[0] ^ sum(1 << b for b in r.sample(range(20), r.randint(0, 6))) for _ in range(1500)]
+    assert linked_parts(np.array(dense, np.uint64), 4).tolist() == brute_parts(dense, 4)
+    for segment in segments(4):
+        own = [sum(1 << b for b in range(segment[0], sum(segment))) & p for p in prints]
+        found = linked_parts(np.array(prints, np.uint64), 4, segment)
+        assert all(own[i] == own[k] for i, k in enumerate(found))
+
+
+def test_every_link_of_a_table_comes_from_the_descent(spark, sf_dir):
+    """All pairs within the distance, counted by brute force, are what the descents of the turned indexes give."""
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    prints = np.array(sorted({plain(r["text"]) for r in table(spark, sf, "documents").collect()}), np.uint64)
+    apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    for distance, least in ((4, 2), (12, 20)):
+        u, v = np.nonzero(np.triu(apart <= distance, 1))
+        want = {tuple(sorted(x)) for x in zip(prints[u].tolist(), prints[v].tolist(), strict=True)}
+        got = set()
+        for low, bits in segments(distance):
+            up = (64 - low - bits) % 64
+            p = prints[np.argsort(gray_rank(prints << np.uint64(up) | prints >> np.uint64(64 - up) if up else prints))]
+            for a, b in descend(p, distance, sum(1 << b for b in range(low, low + bits))):
+                got |= {tuple(sorted(x)) for x in zip(p[a].tolist(), p[b].tolist(), strict=True)}
+        assert len(want) >= least and got == want
 
 
 def test_segments_leave_out_no_link():
     r = random.Random(2)
-    for n in (100, 10**8, 10**12):
-        masks = segment_masks(n, 4)
+    for distance in (3, 4, 7):
+        masks = [sum(1 << b for b in range(low, low + bits)) for low, bits in segments(distance)]
+        assert len(masks) == distance + 1 and sum(masks) == 2**64 - 1
         for _ in range(200):
-            changed = sum(1 << b for b in r.sample(range(64), 4))
+            changed = sum(1 << b for b in r.sample(range(64), distance))
             assert any(not changed & m for m in masks)
 
 
-def test_large_groups_are_split(spark, monkeypatch):
+def test_large_top_nodes_are_dealt_into_pages(spark, monkeypatch):
     from tidemark.llm import simhash
 
-    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "PAGE", 8)
     r = random.Random(3)
-    base = r.getrandbits(64)
+    base, sign = r.getrandbits(64), 1 << 63
     prints = [base ^ sum(1 << b for b in r.sample(range(24), r.randint(0, 6))) for _ in range(60)] + [r.getrandbits(64) for _ in range(20)]
+    prints += [(base ^ sign) ^ sum(1 << b for b in r.sample(range(40, 64), r.randint(0, 6))) for _ in range(40)]
     rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
     found = near_duplicates(spark.createDataFrame(rows, "doc long, print long"), 4)
     assert [r["component"] for r in found.orderBy("doc").collect()] == brute_parts(prints, 4)
 
 
+def test_features_of_texts():
+    text = prose(7, 60).encode()
+    w = text.split()
+    assert len(word_hashes(text)) == 60 and word_hashes(b" \t").tolist() == []
+    assert len(shingle_set(word_hashes(text), 5)) == len({tuple(w[i : i + 5]) for i in range(56)})
+    assert len(shingle_set(word_hashes(b"one two"), 5)) == 1 and shingle_set(word_hashes(b"One two"), 5) == shingle_set(word_hashes(b"one  TWO"), 5)
+    wide = np.random.default_rng(1).integers(0, 2**63, (6, 4)).astype(np.uint64)
+    wide[4], wide[5] = wide[1], wide[2]
+    wide[5, 0] ^= np.uint64(7)
+    assert sketch_parts(wide, 3).tolist() == [0, 1, 2, 3, 1, 2]
+
+
 def test_edges(spark):
     rows = [(5, None), (3, ""), (4, " \n"), (8, "one two"), (9, "ONE two"), (10, "one two"), (10, "one two"), (None, "one two"), (None, "alone here now again"), (7, "word " * 60_000)]
     prints = fingerprints(docs(spark, rows, extra=True))
@@ -93,17 +130,16 @@ def test_one_of_each_group_stays(spark):
     near[150] = "changed"
     rows = [(4, " ".join(base)), (2, " ".join(near)), (9, " ".join(base)), (1, prose(2, 300)), (1, prose(2, 300)), (6, None), (7, None), (None, " ".join(base))]
     kept = drop_near_duplicates(docs(spark, rows, extra=True))
-    assert sorted((str(r["doc_id"]) for r in kept.collect())) == ["1", "2", "6", "7", "None"]
+    assert sorted((str(r["doc_id"]) for r in kept.collect())) == ["1", "2", "6", "None"]
     assert kept.columns == docs(spark, rows, extra=True).columns
     assert drop_near_duplicates(docs(spark, [])).count() == 0
 
 
 def test_one_text_without_words_stays(spark):
     rows = [(5, ""), (3, None), (3, " \n"), (4, "\t"), (None, ""), (1, "one"), (2, "two")]
-    kept = one_without_words(docs(spark, rows, extra=True))
+    kept = drop_near_duplicates(docs(spark, rows, extra=True))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "None"]
     assert kept.columns == docs(spark, rows, extra=True).columns
-    assert one_without_words(docs(spark, [])).count() == 0
 
 
 def test_cut_and_extended_copies_are_linked_by_exact_similarity(spark, monkeypatch):

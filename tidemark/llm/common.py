@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import components
+from tidemark.operators.ordering import global_rank
+from tidemark.sources.snapshots import shared_dir
+
+__all__ = ["SPACE", "boxed", "columns_apart", "components", "global_rank", "lower_ascii", "new_path", "session_constant", "shared_dir", "stored", "table", "unboxed"]
+
 #: White space of the contracts, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -16,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -66,21 +62,3 @@ def session_constant(one: DataFrame) -> Column:
     spark.sql(f"SET VAR {name}_value = (SELECT * FROM {name})")
     spark.catalog.dropTempView(name)
     return F.expr(f"session.{name}_value")
-
-
-def global_rank(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
-    """df with the 0-based position of each row in the order, without one task seeing all rows.
-
-    The rows are range-partitioned and stored; each partition ranks its own rows and adds the rows before it.
-    The driver sees one count for each partition. Rows that tie in the order must be interchangeable.
-    """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    parts = stored(parts, "ranked")
-    counts = sorted((r["_part"], r["n"]) for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    before, starts = 0, []
-    for part, n in counts:
-        starts.append((part, before))
-        before += n
-    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _start long")
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - F.lit(1)
-    return parts.join(F.broadcast(offsets), "_part").withColumn(rank, (own + F.col("_start")).cast("long")).drop("_part", "_start")
