@@ -10,7 +10,7 @@ from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import attach_copies, mix_sources
 from tidemark.llm.quality import keep_quality
-from tidemark.llm.simhash import drop_near_duplicates, one_without_words
+from tidemark.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more. Texts without words, which
+    line dedup makes of copies, are one group."""
     return drop_near_duplicates(docs, similarity=0.8, words=5)
 
 
@@ -35,9 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size (words), copies and taken (words, repeats counted). Line dedup empties the
-    copies of a text; of all texts without words one comes this far."""
-    docs = one_without_words(docs)
+    """The documents that the mix takes, with size (words), copies and taken (words, repeats counted)."""
     return attach_copies(docs, mix_sources(docs, weights=(5, 2, 1), most=3)).where("copies > 0")
 
 
