@@ -1,15 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A line's key is the line without white space at its ends and with A-Z lower-cased; 128 bits of its hash stand for it.
-LineRuns keeps, for each key, how many documents hold it and the document that came first. Every batch of documents is
-joined with the runs on the sorted key: keys that the anti-join leaves over are new and get the batch's document, the
-others only add to the count. The batch's keys become a new sorted run on level 0; when a level has `fanout` runs they
-are merged into one run of the next level, so a key is rewritten once a level.
+LineRuns keeps, for each key, how many documents hold it and the document that came first. Every run is a table bucketed and
+sorted by key, and a batch of documents is brought into the same buckets once: it is merged with the runs bucket by bucket,
+without another shuffle of theirs. Keys that the anti-join with all runs leaves over are new and get the batch's document; the
+others only add to the count. The batch's keys become a new sorted run on level 0; when a level has `fanout` runs they are
+merged into one run of the next level, again bucket by bucket, so a key is rewritten once a level.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import xxhash
@@ -61,47 +64,81 @@ def line_keys(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id", text
     return rows.mapInArrow(_line_keys(min_chars), "doc long, text_hash long, position int, h1 long, h2 long, first boolean")
 
 
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Scans of tables with one file a bucket give rows in the order in which they were sorted, so that joins merge them."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
-    """Levelled sorted runs of (key, number of documents, document that came first) in the shared folder."""
+    """Levelled sorted runs of (key, number of documents, document that came first), one of the rows of a key having the
+    document. Tables of the session's catalog with their files in the shared folder; release() drops the tables."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[str]] = []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[tuple[str, str]]] = []
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, keeper long").parquet(*paths)
+    def _runs(self) -> list[tuple[str, str]]:
+        """(table, path) of all runs, the oldest first."""
+        return [run for level in reversed(self.levels) for run in level]
 
     def _write(self, keys: DataFrame, level: int) -> None:
         path = new_path(self.spark, f"lines-{level}")
-        keys.sortWithinPartitions(*KEY).write.option("compression", "zstd").parquet(path)
+        name = f"lines_{uuid.uuid4().hex}"
+        with _sorted_scans(self.spark):
+            keys.write.option("compression", "zstd").option("path", path).bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append((name, path))
 
     @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+    def _merged(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.alias("o").hint("merge").join(new.alias("n"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in KEY], "full")
+        count = F.coalesce("o.n_docs", F.lit(0)) + F.coalesce("n.n_docs", F.lit(0))
+        return both.select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in KEY], count.alias("n_docs"), F.coalesce("o.keeper", "n.keeper").alias("keeper"))
 
     def entries(self) -> DataFrame:
-        """One row for each key over all runs: h1, h2, n_docs, keeper."""
-        paths = [p for level in self.levels for p in level]
+        """One row for each key over all runs: h1, h2, n_docs, keeper. Read from the files, so release() doesn't end it."""
+        schema, paths = "h1 long, h2 long, n_docs long, keeper long", [path for _, path in self._runs()]
         if not paths:
-            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, keeper long")
-        return self._read(paths) if len(paths) == 1 else self._merged(self._read(paths))
+            return self.spark.createDataFrame([], schema)
+        found = self.spark.read.schema(schema).parquet(*paths)
+        return found if len(paths) == 1 else found.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+
+    def marked(self, lines: DataFrame) -> DataFrame:
+        """The keys of a batch with n_docs (distinct documents), and keeper (the largest) where no run holds the key yet."""
+        pairs = lines.where("first").groupBy(*KEY, "doc").agg(F.lit(0).alias("_"))
+        own = pairs.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
+        for name, _ in self._runs():
+            known = self.spark.table(name).select(*KEY, F.lit(True).alias("known")).hint("merge")
+            own = own.join(known, KEY, "left").select(*KEY, "n_docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper"))
+        return own
 
     def add(self, lines: DataFrame) -> None:
         """Merge-anti-join a batch with the runs, add its keys as a run, and compact levels that are full."""
-        own = lines.where("first").groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
-        if any(self.levels):
-            known = self.entries().select(*KEY, F.lit(True).alias("known"))
-            own = own.join(known, KEY, "left").select(*KEY, "n_docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper"))
-        self._write(own, 0)
+        self._write(self.marked(lines), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(self._read(full)), level + 1)
+            while len(full) > 1:
+                (old, _), (new, _) = full[:2]
+                self._write(self._merged(self.spark.table(old), self.spark.table(new)), level + 1)
+                for name in (old, new):
+                    self.spark.sql(f"DROP TABLE {name}")
+                full = [*([self.levels[level + 1].pop()] if len(full) > 2 else []), *full[2:]]
             level += 1
 
+    def release(self) -> None:
+        for name, _ in self._runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def fresh(self, lines: DataFrame) -> DataFrame:
         """The batch's lines whose key no run holds yet."""
         return lines.join(self.entries().select(*KEY), KEY, "left_anti")
@@ -129,8 +166,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
     text replaced, and n_lines (before dropping) and n_dropped; input columns of these two names are replaced.
 
     A null text counts as empty: one empty line, kept as an empty text. Rows with a null id are not counted and keep
-    their lines. Rows that repeat an id count as a document each for the number of documents, and the largest id keeps
-    the line in all its rows. An empty table gives an empty table.
+    their lines. Rows that repeat an id are one document for the number of documents, and the largest id keeps the line in
+    all its rows. A text of any length is one row's work. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     lines = stored(line_keys(docs, min_chars, id_col, text_col), "line-keys")
@@ -141,6 +178,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
         batch = lines if cut is None else lines.where(F.col("doc") > cut)
         runs.add(batch if above is None else batch.where(F.col("doc") <= above))
         above = cut
+    runs.release()
     gone = runs.repeated(lines, min_docs).groupBy("doc", "text_hash").agg(F.collect_set("position").alias("gone"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = boxed(docs).withColumn("text", F.coalesce(F.col("row").getField(text_col), F.lit("")))

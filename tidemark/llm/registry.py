@@ -25,18 +25,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, pos, line,
+  SELECT rid, doc_id, pos, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+  FROM (SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+        FROM (SELECT *, row_number() OVER () AS rid FROM documents))),
 keys AS (
   SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
 marked AS (
-  SELECT l.doc_id, l.pos, l.line, k.k IS NOT NULL AND k.keeper <> l.doc_id AS gone FROM lines l LEFT JOIN keys k ON l.k = k.k)
+  SELECT l.rid, l.doc_id, l.pos, l.line, coalesce(k.keeper <> l.doc_id, false) AS gone FROM lines l LEFT JOIN keys k ON l.k = k.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY rid, doc_id
 """
 
 
