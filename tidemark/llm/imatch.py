@@ -1,122 +1,114 @@
 """I-Match document fingerprints, in DataFrame functions alone.
 
-The lexicon holds the terms whose inverse document frequency lies in a band. Terms are hashed into buckets, and the
-lexicon is a bit for each bucket: set if the number of documents with the bucket's terms puts its idf in the band. A term
-that is kept is therefore in no more documents than the band allows.
-
-The lexicon is cut into randomised subsets by a hash of the term, SLOTS of them being used. A text's fingerprint has a
-hash for each subset that holds some of its terms: that of the text's distinct terms in the subset, in order. Subsets
-hold about one term of a text, so the share of equal hashes follows the share of equal terms; since texts differ in length
-there are subsets of several sizes (levels), each four times smaller than the one before, and a text uses the two levels
-that fit its number of terms, so that two texts of like length have one in common.
+The lexicon holds the terms whose inverse document frequency lies in a band: ln(documents / documents with the term). A
+term of the band is in a fixed share of the documents at least, so the lexicon has at most (distinct words of a mean
+document) * e ** (upper end) terms, whatever the number of documents, and is held exactly, dealt into short buckets.
+
+A text's kept terms, distinct and sorted, are hashed as a whole and once for each of several randomised subsets of the
+lexicon: FAMILIES of them at each of LEVELS rates, level l keeping each term with a chance of 2 ** -l. Two texts that differ
+in d kept terms agree on a subset of level l with a chance of (1 - 2 ** -l) ** d, so the number of subsets on which they
+agree tells d, and with both numbers of terms how alike they are, for short texts as for long ones.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, session_constant
+from tidemark.llm.common import lower_ascii, session_constant, stored
 
-SLOTS = 64
-#: Buckets of terms, as bits in words of 64.
-WORDS = 1 << 16
-BUCKETS = WORDS * 64
-IDF_BAND = (3.0, 40.0)
+#: Terms in over 5 % of the documents, or in under one of 10,000, are not of the lexicon.
+IDF_BAND = (3.0, 9.2)
+FAMILIES, LEVELS = 8, 16
+#: Terms of the lexicon in a bucket, on average.
+BUCKET = 4
+#: Code points of text in a part of the table, on average.
+PART_CHARS = 128_000_000
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the distinct words of a text."""
+    """Hashes of the distinct words of a text, sorted."""
     words = F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
 
 
 def lexicon(texts: DataFrame, idf_band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """One row, one column: the bits of the buckets in the band, an array of WORDS longs. texts: text."""
-    n = F.greatest(F.count("*"), F.lit(1))
-    buckets = F.array_distinct(F.transform(terms(F.col("text")), lambda t: F.pmod(t, F.lit(BUCKETS)).cast("int")))
-    counts = texts.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("docs"))
-    size = texts.agg(n.alias("n"))
+    """term, for every term of the band. texts: text. Terms of a single document count as rare enough in any table, so
+    that tables of few rows have a lexicon."""
+    size = texts.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
     idf = F.log(F.col("n") / F.col("docs"))
-    held = counts.crossJoin(F.broadcast(size)).where(idf.between(*idf_band))
-    bit = F.expr("shiftleft(1L, cast(bucket % 64 as int))")
-    words = held.groupBy(F.floor(F.col("bucket") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    every = texts.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("word"))
-    dense = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
-
-
-def _kept(all_terms: Column, bits: Column) -> Column:
-    def inside(t: Column) -> Column:
-        bucket = F.pmod(t, F.lit(BUCKETS)).cast("int")
-        word = F.get(bits, F.floor(bucket / 64).cast("int"))
-        return F.getbit(word, bucket % 64) == 1
+    return counts.crossJoin(F.broadcast(size)).where(((idf >= idf_band[0]) | (F.col("docs") == 1)) & (idf <= idf_band[1])).select("term")
 
-    found = F.filter(all_terms, inside)
-    return F.when(F.size(found) > 0, found).otherwise(all_terms)
 
+def bucketed(found: DataFrame) -> DataFrame:
+    """One row, one column: the terms as an array of buckets, a power of two of them; a term's bucket is its remainder."""
+    size = 1 << max(0, math.ceil(math.log2(max(1, found.count() / BUCKET))))
+    held = found.groupBy(F.pmod("term", F.lit(size)).cast("int").alias("bucket")).agg(F.collect_list("term").alias("terms"))
+    every = found.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket")).join(held, "bucket", "left")
+    dense = every.select("bucket", F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "terms"))), lambda x: x["terms"]).alias("buckets"))
 
-def _hashes(own: Column, level: Column) -> Column:
-    """A hash for each subset of the level that holds some of the terms."""
-    subsets = F.pow(F.lit(4.0), level).cast("long") * F.lit(SLOTS)
-    place = lambda t: F.pmod(F.xxhash64(t, level), subsets)
-    dealt = F.filter(F.transform(own, lambda t: F.struct(place(t).alias("slot"), t.alias("term"))), lambda x: x["slot"] < SLOTS)
-    start = F.struct(F.lit(-1).cast("long").alias("slot"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<long>").alias("done"))
 
-    def follow(so_far: Column, x: Column) -> Column:
-        same = so_far["slot"] == x["slot"]
-        return F.struct(
-            x["slot"].alias("slot"),
-            F.when(same, F.xxhash64(so_far["hash"], x["term"])).otherwise(F.xxhash64(x["slot"], x["term"])).alias("hash"),
-            F.when(same | (so_far["slot"] < 0), so_far["done"]).otherwise(F.concat(so_far["done"], F.array(so_far["hash"]))).alias("done"),
-        )
+def kept(own: Column, buckets: Column) -> Column:
+    """Those of the terms that the lexicon holds."""
+    size = F.size(buckets).cast("long")
+    return F.filter(own, lambda t: F.array_contains(F.get(buckets, F.pmod(t, size).cast("int")), t))
 
-    ended = lambda x: F.when(x["slot"] < 0, x["done"]).otherwise(F.concat(x["done"], F.array(x["hash"])))
-    return F.transform(F.aggregate(F.array_sort(dealt), start, follow, ended), lambda h: F.shiftrightunsigned(h, 32))
 
+def _short(own: Column) -> Column:
+    """32 bits of the hash of sorted terms; 0 if there are none."""
+    return F.shiftrightunsigned(F.xxhash64(own), 32)
 
-def fingerprint(text: Column, bits: Column) -> Column:
-    """struct(level, near, far): the subset hashes at the text's level and at the next one. All distinct terms stand in for
-    the lexicon's in a text that has none of these; texts without words have no hashes."""
-    own = _kept(terms(text), bits)
-    return _with(own, lambda t: _levelled(t))
 
+def with_print(df: DataFrame, text: str, buckets: Column, name: str) -> DataFrame:
+    """df with the fingerprint of column text: struct(terms, whole, subsets): the number of kept terms, the hash of all of
+    them, and the hashes of the subsets, level by level. The steps are columns of their own, so that each is worked out once."""
+    columns = df.columns
+    df = df.withColumn("_own", kept(terms(F.col(text)), buckets))
+    df = df.withColumn("_again", F.transform("_own", lambda t: F.xxhash64(t)))
 
-def _with(value: Column, use) -> Column:
-    """use(value), value being worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    def of(array: str, family: int, level: int) -> Column:
+        bits = ((1 << level) - 1) << (LEVELS * (family % 4))
+        return F.filter(array, lambda t: t.bitwiseAND(F.lit(bits - (1 << 64) if bits >> 63 else bits)) == 0)
 
-
-def _levelled(own: Column) -> Column:
-    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.size(own), F.lit(1)) / SLOTS) / F.log(F.lit(4.0)))).cast("int")
-    return _with(F.struct(own.alias("own"), level.alias("level")), lambda x: F.struct(
-        x["level"].alias("level"), _hashes(x["own"], x["level"]).alias("near"), _hashes(x["own"], x["level"] + 1).alias("far")))
+    source = lambda family: "_own" if family < 4 else "_again"
+    thin = 3  # subsets from this level on are taken from the one of this level
+    df = df.withColumns({f"_thin{k}": of(source(k), k, thin) for k in range(FAMILIES)})
+    cells = [_short(of(source(k) if level < thin else f"_thin{k}", k, level)) for level in range(1, LEVELS + 1) for k in range(FAMILIES)]
+    return df.select(*columns, F.struct(F.size("_own").alias("terms"), F.xxhash64("_own").alias("whole"), F.array(*cells).alias("subsets")).alias(name))
 
 
 def as_string(print_: Column) -> Column:
-    """level, then the hashes of both levels as 8 hex digits each."""
-    digits = lambda hashes: F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
-    return F.concat_ws(":", print_["level"], digits(print_["near"]), digits(print_["far"]))
+    """The number of terms, the hash of all as 16 hex digits, and those of the subsets as 8 each, without trailing zeros."""
+    digits = F.array_join(F.transform(print_["subsets"], lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    return F.concat_ws(":", print_["terms"], F.lpad(F.lower(F.hex(print_["whole"])), 16, "0"), F.rtrim(digits, F.lit("0")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal hashes, 0 to 1, on the finer level that both fingerprints have; 0 if they have none in common,
-    1 if both texts have no words."""
-    share = lambda x, y: F.when(F.size(x) + F.size(y) == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
-    return (
-        F.when(a["level"] == b["level"], share(a["near"], b["near"]))
-        .when(a["level"] == b["level"] + 1, share(a["near"], b["far"]))
-        .when(a["level"] + 1 == b["level"], share(a["far"], b["near"]))
-        .otherwise(0.0)
-    )
+    """How much of the kept terms of both texts they share (Jaccard), 0 to 1, as told by the subsets on which they agree:
+    1 if they agree on all terms (or have none), 0 if they agree on no subset that holds a term."""
+    same = F.filter(F.zip_with(a["subsets"], b["subsets"], lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    left = F.lit(float(LEVELS)) - F.size(same) / F.lit(float(FAMILIES))
+    # the sum over levels of 1 - exp(-d / 2 ** l) is log2(d) + 0.333 for large d; 0 for none, 1 for one
+    differ = (F.pow(F.lit(2.0), left) - 1) * F.lit(2 ** -0.333)
+    total = a["terms"] + b["terms"]
+    share = F.greatest(F.lit(0.0), 1 - 2 * differ / (total + differ))
+    return F.when((a["whole"] == b["whole"]) & (a["terms"] == b["terms"]), 1.0).when(F.exists(same, lambda x: x != 0), share).otherwise(0.0)
+
+
+def _following():
+    return Window.partitionBy("part").orderBy("guest", F.col("doc").asc_nulls_first(), "text_hash")
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """doc, text (null as empty), next_text and next_doc of the following row by ascending doc (ties by text); the last is
+    """doc, text (null as empty), next_text and next_doc of the following row by ascending doc (ties by the text's hash); the last is
     followed by the first.
 
     The rows are dealt into parts by quantiles of doc, and each part also gets, as a guest, the first row of the next one,
-    so texts are shuffled once and no task sees more than a part.
+    so texts are shuffled once and no task sees more than a part. Rows that share a doc, or have none, are of one part.
     """
     spread = docs.agg(F.percentile_approx("doc", [k / parts for k in range(1, parts)] or [0.5], 10 * parts).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(spread)) if parts > 1 else []
@@ -140,10 +132,11 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
         wanted = [d for _, d, _ in starts if d is not None]
         picked = rows.where(F.col("doc").isin(wanted) | (F.col("doc").isNull() if nulls else F.lit(False)))
         guests = picked.join(F.broadcast(known), (F.col("part") == F.col("_p")) & F.col("doc").eqNullSafe(F.col("_d"))).select("doc", "text", F.col("_to").alias("part"), F.lit(True).alias("guest"))
-        guests = guests.groupBy("part", "doc", "guest").agg(F.min("text").alias("text")).select("doc", "text", "part", "guest")
+        guests = guests.groupBy("part", "doc", "guest").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc", "text", "part", "guest")
     rows = rows.select("doc", "text", "part", F.lit(False).alias("guest"))
     both = rows if guests is None else rows.unionByName(guests)
-    own = Window.partitionBy("part").orderBy("guest", F.col("doc").asc_nulls_first(), "text")
+    own = _following()
+    both = both.withColumn("text_hash", F.xxhash64("text"))
     return both.withColumns({"next_doc": F.lead("doc").over(own), "next_text": F.lead("text").over(own)})
 
 
@@ -156,20 +149,22 @@ def edited(text: Column, other: Column) -> Column:
 def fingerprint_with_edits(docs: DataFrame, idf_band: tuple[float, float] = IDF_BAND, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """doc, n_chars, edited (the text), print, edited_print, near_edited, near_next of every row.
 
-    Null texts count as empty. Rows that repeat an id follow one another in the order of their texts; rows without an id
-    come first. Texts without words have empty fingerprints, which are alike. Equal texts have equal fingerprints. A
-    single row is followed by itself. An empty table gives an empty table.
+    Null texts count as empty. Rows that repeat an id follow one another in the order of their texts' hashes; rows without
+    an id come first. Texts without a term of the lexicon, such as empty ones, have equal fingerprints, which are alike. Equal
+    texts have equal fingerprints. A single row is followed by itself. Texts are worked on whole, however long. Other columns
+    are ignored, whatever their names. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    bits = session_constant(lexicon(rows.select("text"), idf_band))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = session_constant(bucketed(stored(lexicon(rows.select("text"), idf_band), "lexicon")))
+    if parts is None:
+        chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / PART_CHARS))
     paired = with_next(rows, parts)
     # what the guests are compared with is their own fingerprint alone
     changed = F.when(F.col("guest"), F.lit("")).otherwise(edited(F.col("text"), F.col("next_text")))
-    paired = paired.withColumn("edited", changed).drop("next_text", "next_doc")
-    printed = paired.withColumns({"print": fingerprint(F.col("text"), bits), "edited_print": fingerprint(F.col("edited"), bits)})
-    slim = printed.select("doc", "part", "guest", "text", F.length("text").cast("long").alias("n_chars"), "edited", "print", "edited_print")
-    own = Window.partitionBy("part").orderBy("guest", F.col("doc").asc_nulls_first(), "text")
-    done = slim.withColumn("next_print", F.lead("print").over(own)).where("not guest")
+    paired = paired.withColumn("edited", changed).drop("next_text", "next_doc").withColumn("n_chars", F.length("text").cast("long"))
+    printed = with_print(paired, "text", buckets, "print").drop("text")
+    printed = with_print(printed, "edited", buckets, "edited_print")
+    done = printed.withColumn("next_print", F.lead("print").over(_following())).where("not guest")
     return done.select("doc", "n_chars", "edited", "print", "edited_print", likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
