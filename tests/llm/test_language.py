@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 from tests.llm.helpers import docs
 
@@ -25,6 +28,41 @@ def test_bundle_is_the_sum_of_bound_letters():
     np.testing.assert_allclose(bundled([codes], np.array([0]), 1)[0], want)
 
 
+def test_query_against_plain_cosines(spark, sf_dir):
+    """Prototypes and predictions of the whole table, trigram by trigram."""
+    rows = table(spark, sf_dir, "documents").collect()
+    bound = {}
+
+    def vector(text):
+        codes = letters_only(text).tolist()
+        out = np.zeros(DIMENSIONS)
+        for g, n in Counter(zip(codes, codes[1:], codes[2:], strict=False)).items():
+            if g not in bound:
+                bound[g] = np.roll(letter_vector(g[0]), 2).astype(float) * np.roll(letter_vector(g[1]), 1) * letter_vector(g[2])
+            out += n * bound[g]
+        return out
+
+    vectors = {r["doc_id"]: vector(r["text"]) for r in rows}
+    sums = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] and r["text"]:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + vectors[r["doc_id"]]
+    for r in op6_language_id(spark, sf_dir).collect():
+        v = vectors[r["doc_id"]]
+        cosines = {k: v @ s / np.linalg.norm(s) / np.linalg.norm(v) for k, s in sums.items()} if v.any() else {"und": 0.0}
+        best = max(sorted(cosines), key=cosines.get)
+        assert abs(r["score"] - max(0, cosines[best])) < 1e-5 and (r["lang_pred"] == best or abs(cosines[r["lang_pred"]] - cosines[best]) < 1e-6)
+
+
+def test_a_long_text_of_many_trigrams():
+    r = np.random.default_rng(3)
+    wide = ["".join(map(chr, r.integers(0x4E00, 0x9FFF, 60_000)))] + ["kurz und gut"] * 5
+    codes = [letters_only(t) for t in wide]
+    together = bundled(codes, np.arange(6), 6)
+    for i, c in enumerate(codes):
+        np.testing.assert_allclose(together[i], bundled([c], np.array([0]), 1)[0], atol=1e-3)
+
+
 def test_edges(spark):
     rows = [(1, "the cat and the dog " * 20, "en"), (2, "der hund und die katze " * 20, "de"), (3, None, "en"), (4, "123 !?", "en"), (5, "the dog", None), (6, "x", "en"), (None, "und die", "de"), (2, "und die katze", "de"), (7, "语言 " * 40_000, "zh"), (8, "퟿\U0001F600 ", "en")]
     df = docs(spark, rows, extra=True)

@@ -1,8 +1,9 @@
 import numpy as np
+import pytest
 from tests.llm.helpers import docs, prose
 
 from tidemark.llm.common import table
-from tidemark.llm.mixing import attach_copies, mix_sources
+from tidemark.llm.mixing import attach_copies, mix_sources, sized, tilts
 from tidemark.llm.registry import op3_mixing_sources
 
 WEIGHTS = (5, 2, 1)
@@ -45,6 +46,30 @@ def test_query_meets_targets_and_repeats(spark, sf_dir):
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in op3_mixing_sources(spark, sf_dir).collect())
 
 
+def test_rates_against_a_plain_solution(spark, sf_dir):
+    """The rate of every document, each source's tilt being found by bisection."""
+    own = {}
+    for r in op3_mixing_sources(spark, sf_dir).collect():
+        own.setdefault(r["source"], []).append(r)
+    for rows in own.values():
+        sizes = np.array([r["size"] for r in rows], float)
+        mean, target, low, high = sizes[sizes > 0].mean(), rows[0]["target"], -1e4, 1e4
+        for _ in range(200):
+            tilt = (low + high) / 2
+            with np.errstate(over="ignore"):
+                rates = np.minimum(3, np.exp(tilt * sizes / mean))
+            low, high = (tilt, high) if (sizes * rates).sum() < target else (low, tilt)
+        np.testing.assert_allclose([r["rate"] for r in rows if r["size"]], rates[sizes > 0], rtol=1e-4)
+
+
+def test_no_silent_failure_to_converge(spark):
+    rows = [(i, prose(i, 5 + i % 90), "en", f"s{i % 2}") for i in range(60)]
+    units = sized(docs(spark, rows)).groupBy("source", "size").count().withColumnRenamed("count", "n")
+    sources = units.selectExpr("source", "size * n as t").groupBy("source").agg({"t": "sum"}).withColumnRenamed("sum(t)", "source_size").selectExpr("*", "source_size * if(source = 's0', 1.5, 0.5) as target")
+    with pytest.raises(RuntimeError, match="did not settle in 1 steps"):
+        tilts(units, sources, max_steps=1)
+
+
 def test_capped_and_null_sources(spark):
     rows = [(i, prose(i, 5 + i % 90), "en", "tiny" if i < 4 else None if i < 60 else f"z{i % 5}") for i in range(400)]
     mixed = mix_sources(docs(spark, rows, extra=True)).collect()

@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 import pytest
 from tests.llm.helpers import docs, prose
@@ -36,6 +39,22 @@ def test_trees_match_a_walk():
     assert np.mean((trees.score(x) > 0.5) == y) > 0.95
 
 
+def test_query_against_a_plain_walk(spark, sf_dir):
+    """Every document's score by the trees that the query trains, node by node."""
+    docs_, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").collect()
+    learned = {r["doc_id"] for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    trees = train(docs_, spark.createDataFrame([r for r in labels if r["doc_id"] in learned], "doc_id long, quality int, toxic int"))
+    texts = {r["doc_id"]: r["text"] for r in docs_.collect()}
+    for r in op5_quality_classifier(spark, sf_dir).collect():
+        x, odds = statistics(texts[r["doc_id"]]), trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+            odds += leaf[node - len(feature)]
+        assert abs(r["score"] - 1 / (1 + math.exp(-odds))) < 1e-9
+
+
 @pytest.mark.parametrize("text", [None, "", " \n", "a", "é" * 10_000, "word " * 50_000, "|||| ###"])
 def test_statistics_of_odd_texts(text):
     assert len(statistics(text)) == len(FEATURES) and np.isfinite(statistics(text)).all()

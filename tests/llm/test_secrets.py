@@ -31,6 +31,8 @@ def test_query_matches_brute_force(spark, sf_dir):
             want = base(texts[r["doc_id"]])
             assert r["base_sha256"] == hashlib.sha256(joined(want).encode()).hexdigest()
             assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for k, _, _ in want) for x in ("assign", "access", "hex")]
+            every = sorted((m.start(), n, rule.kind, m.end()) for n, rule in enumerate(RULES) for m in re.finditer(rule.pattern, texts[r["doc_id"]], rule.flags) if rule.keep is None or rule.keep(m))
+            assert r["spans"] == joined((k, a, b) for a, _, k, b in every)
             assert joined(s for s in want) == ",".join(s for s in r["spans"].split(",") if s.split(":")[0] in ("assign", "access", "hex"))
 
 
@@ -39,6 +41,10 @@ def test_queries_of_patterns():
     assert trigram_query(r"[0-9a-f]{24,}") is None
     assert trigram_query(r"ab|abcd") is None and trigram_query(r"abc|bcde") == ("or", ("abc", ("and", ("bcd", "cde"))))
     assert trigram_query(r"x(abc)?y") is None and trigram_query(r"gh[pq]_\w+") == ("or", (("and", ("ghp", "hp_")), ("and", ("ghq", "hq_"))))
+    assert trigram_query("x([ab][ab][ab][ab][ab][ab][ab]c)") is None or not {"xac", "xbc"} & trigrams(trigram_query("x([ab][ab][ab][ab][ab][ab][ab]c)"))
+    rule = Rule("many", "x([ab][ab][ab][ab][ab][ab][ab]c)")
+    held = Segment([b"xaaaaaaac", b"xbc"], sorted(trigrams(trigram_query(rule.pattern)))).candidates(trigram_query(rule.pattern))
+    assert 0 in held.tolist()
     assert trigrams(trigram_query(r"foo.*bar")) == {"foo", "bar"}
 
 

@@ -56,7 +56,8 @@ def bundled(texts: list[np.ndarray], owner: np.ndarray, owners: int) -> np.ndarr
     if not keys:
         return np.zeros((owners, DIMENSIONS))
     distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(np.concatenate(rows) * len(distinct) + which, minlength=owners * len(distinct)).reshape(owners, len(distinct))
+    by_trigram = np.argsort(which, kind="stable")
+    which, own = which[by_trigram], np.concatenate(rows)[by_trigram]
     places = np.stack([distinct >> 42, distinct >> 21 & 0x1FFFFF, distinct & 0x1FFFFF])
     codes, at = np.unique(places, return_inverse=True)
     at = at.reshape(places.shape)
@@ -65,7 +66,9 @@ def bundled(texts: list[np.ndarray], owner: np.ndarray, owners: int) -> np.ndarr
     for i in range(0, len(distinct), 16384):
         part = slice(i, i + 16384)
         bound = np.roll(vectors, 2, axis=1)[at[0, part]] * np.roll(vectors, 1, axis=1)[at[1, part]] * vectors[at[2, part]]
-        out += counts[:, part].astype(np.float32) @ bound.astype(np.float32)
+        width, (start, stop) = len(bound), np.searchsorted(which, (i, i + 16384))
+        counts = np.bincount(own[start:stop] * width + which[start:stop] - i, minlength=owners * width).reshape(owners, width)
+        out += counts.astype(np.float32) @ bound.astype(np.float32)
     return out
 
 
@@ -130,7 +133,8 @@ def classify(texts: list[str | None], names: list[str], units: np.ndarray) -> tu
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, lang_pred and score of every row. A text that is null or has no letters is `und` with score 0, as is any text
-    if no language was learned; equal cosines give the first language by name."""
+    if no language was learned; equal cosines give the first language by name. Rows that repeat an id give a row each, texts
+    of any length count whole, an empty table gives none. Ids must be whole numbers; other columns are ignored."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

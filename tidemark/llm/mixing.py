@@ -46,7 +46,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: fl
 
 
 def tilts(counts: DataFrame, sources: DataFrame, most: float = 3, tolerance: float = 1e-7, max_steps: int = 60) -> DataFrame:
-    """sources with tilt and mean: the tilt at which the rates give the source's target.
+    """sources with tilt and mean: the tilt at which the rates give the source's target. Raises if that isn't reached.
 
     counts: source, size, n. Newton's method on the logarithm of the tokens, halving the step's bracket where a step would
     leave it (the limit on the rates can flatten the curve). One aggregation over counts for each step.
@@ -73,9 +73,12 @@ def tilts(counts: DataFrame, sources: DataFrame, most: float = 3, tolerance: flo
         moved = state.join(sums, state["source"].eqNullSafe(sums["_source"]), "left").withColumns({"met": met, "low2": low, "high2": high})
         moved = moved.withColumn("tilt2", F.when(F.col("met"), F.col("tilt")).when(inside, step).otherwise((F.greatest("low2", F.lit(-1e4)) + F.col("high2")) / 2))
         state = stored(moved.select(*sources.columns, "mean", F.col("tilt2").alias("tilt"), F.col("low2").alias("low"), F.col("high2").alias("high"), "met"), "tilts")
-        if state.where("not met").isEmpty():
+        open_ = state.where("not met").select("source").limit(3).collect()
+        if not open_:
             break
         state = state.drop("met")
+    else:
+        raise RuntimeError(f"the tilts of {[r['source'] for r in open_]} did not settle in {max_steps} steps")
     return state.select(*sources.columns, "mean", "tilt")
 
 
@@ -97,7 +100,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
 
     A row stands for all input rows with that id, source and text (`rows` of them, each taken `copies` times), so rows that
     repeat share their copies. Sizes are words; null and empty texts have size 0 and count for nothing. A null source is
-    a source, the last one. An empty table gives an empty table. Copies are whole and at most `most`.
+    a source, the last one. An empty table gives an empty table. Copies are whole and at most `most`. Of documents of one
+    size in a block, which have one rate, those first by the hash of their text and then by id are rounded first. Texts are
+    counted whole, however long. Other columns are ignored, whatever their names.
     """
     rows = sized(docs, id_col, text_col, source_col)
     units = stored(rows.groupBy("doc", "source", "size", "text_hash").agg(F.count("*").alias("rows")), "units")

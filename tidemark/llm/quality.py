@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     """Fit on the labelled documents: the sample_rows of them that come first by a hash of the id, all if there are fewer.
 
     Rows without an id, a label or a document don't count. Only the sample's ids are broadcast and only its statistics
-    reach the driver. Reruns give the same trees.
+    reach the driver. Reruns give the same trees: of equal gains the first feature and the lowest threshold count. An id that
+    repeats in either table counts once for each pair of its rows. Without labelled documents every score is 0.5.
     """
     marked = columns_apart(labels, id_col, label_col).toDF("doc", "label").select(F.col("doc").cast("long"), F.col("label").cast("int")).where("doc is not null and label is not null")
     chosen = marked.orderBy(F.xxhash64("doc"), "doc", "label").limit(sample_rows)
@@ -140,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
 
 def quality_score(trees: Trees, text: Column, docs: DataFrame) -> Column:
-    """The score, 0 to 1, of a text column of docs; a null or empty text is scored by its statistics like any other."""
+    """The score, 0 to 1, of a text column of docs; a null or empty text is scored by its statistics like any other, and a text
+    of any length by those of the whole."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")

@@ -83,6 +83,7 @@ def _read(items) -> tuple[list[str] | None, Query]:
     """The strings that the items can match, if they are few, and the query that holds for any match."""
     strings: list[str] | None = [""]
     queries: list[Query] = []
+    exact = True
 
     def broken() -> None:
         nonlocal strings
@@ -90,13 +91,13 @@ def _read(items) -> tuple[list[str] | None, Query]:
         strings = [""]
 
     def follow(more: list[str] | None) -> None:
-        nonlocal strings
+        nonlocal strings, exact
         if more is None or len(strings) * len(more) > MOST_STRINGS:
+            exact = False  # what stands before is in the queries now, and the strings are only the rest
             broken()
         if more is not None:
             strings = [a + b for a in strings for b in more] if len(strings) * len(more) <= MOST_STRINGS else list(more)
 
-    exact = True
     for op, value in items:
         if op is sre.LITERAL:
             follow([chr(value).lower()])
@@ -222,6 +223,7 @@ def _scan(rules: tuple[Rule, ...]):
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc and spans of every row: an array of (kind, start, stop) in code points, stop exclusive, by start and then by
-    the order of the rules. A null text has no spans; rows that repeat an id give a row each; an empty table gives none."""
+    the order of the rules. A null text has no spans; rows that repeat an id give a row each; an empty table gives none. Texts
+    are searched whole, however long. Ids must be whole numbers; other columns are ignored, whatever their names."""
     rows = columns_apart(docs, id_col, text_col).toDF("doc", "text").select(F.col("doc").cast("long"), "text")
     return rows.mapInArrow(_scan(tuple(rules)), "doc long, spans array<struct<kind:string,start:int,stop:int>>")
