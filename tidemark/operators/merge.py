@@ -1,9 +1,10 @@
 """Set-based temporal merge: source rows with periods are merged into the history of their entities.
 
-The history of an entity is cut at all boundaries of its source and target rows; each piece gets its payload from the
-target row and the source rows that cover it, by column expressions that the mode fixes; equal neighbours are coalesced;
-the result is compared with the target. Everything from the cutting on is partitioned by one grouping key. The target is
-not changed: the merge gives a new snapshot, the operations that lead to it, and an outcome for every source row.
+Only entities that the source names are looked at: the target is filtered by their keys first. The history of an entity is
+cut at all boundaries of its source and target rows; one sweep finds the target row and the source rows that answer for each
+piece, and column expressions that the mode fixes give its payload; equal neighbours are coalesced; the result is compared
+with the target. Everything from the cutting on is partitioned by one grouping key. The target is not changed: the merge
+gives a new snapshot, the operations that lead to it, and an outcome for every source row.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.period import allen, forever, is_discrete, predecessor, successor
+from tidemark.operators import sweep
 from tidemark.operators.graph import components
 
 MODES = (
@@ -148,7 +150,6 @@ class TemporalMerge:
         """rows with _new, _g (the grouping key), _error, and _e_* as found."""
         spec, rows = self.spec, self.rows
         names = [f"_e_{c}" for c in spec.entity]
-        entities = self.target.select(*[F.col(c).alias(f"_t_{c}") for c in dict.fromkeys([*spec.entity, *spec.lookup])]).distinct()
         found = None
         for key in [tuple(spec.entity), *spec.natural_keys]:
             by_identity = found is None
@@ -156,33 +157,54 @@ class TemporalMerge:
             if not by_identity and not set(key) & set(self.source.columns):
                 continue
             usable = rows.where(_some(ours)).select("_rid", *[c.alias(f"_m_{n}") for c, n in zip(ours, key, strict=True)])
-            theirs = entities.select(*[F.col(f"_t_{c}") for c in dict.fromkeys([*key, *spec.entity])]).distinct()
             same = [F.col(f"_m_{c}").eqNullSafe(F.col(f"_t_{c}")) for c in key]
+            # the source's keys pick the target's rows, so only what they hit is shuffled further
+            asked = usable.drop("_rid").distinct()
+            theirs = self.target.select(*[F.col(f"`{c}`").alias(f"_t_{c}") for c in dict.fromkeys([*key, *spec.entity])]).join(asked, same, "left_semi").distinct()
+            if by_identity and not spec.natural_keys:
+                return self._hold(self._grouped_by_identity(rows, theirs))
             hit = usable.join(theirs, same).select("_rid", F.lit(0 if by_identity else 1).alias("_by"), F.struct(*[F.col(f"_t_{c}").alias(c) for c in spec.entity]).alias("_hit"))
             found = hit if found is None else found.unionByName(hit)
-        hits = found.distinct().groupBy("_rid").agg(F.min("_by").alias("_by"), F.array_sort(F.collect_set(F.when(F.col("_by") == 0, F.col("_hit")))).alias("_own"), F.array_sort(F.collect_set("_hit")).alias("_all"))
-        # a match by identity counts alone
-        hits = hits.select("_rid", F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("_all")).alias("_hits"))
+        # a key can hit any number of entities: their number and the first ten are enough
+        hits = found.distinct().groupBy("_rid", "_by").agg(F.count("*").alias("_n"), F.min("_hit").alias("_hit"))
+        firsts = found.distinct().withColumn("_nth", F.row_number().over(Window.partitionBy("_rid", "_by").orderBy("_hit"))).where("_nth <= 10")
+        firsts = firsts.groupBy("_rid", "_by").agg(F.array_sort(F.collect_list("_hit")).alias("_ten"))
+        hits = hits.join(firsts, ["_rid", "_by"])
+        # a match by identity counts alone; natural keys may find one entity several times
+        hits = hits.groupBy("_rid").agg(F.min_by(F.struct("_n", "_hit", "_ten"), "_by").alias("_hits"))
         joined = rows.join(hits, "_rid", "left").withColumn("_new", F.col("_hits").isNull())
-        new_identity = [F.when(F.col("_new"), F.col(f"_e_{c}")).otherwise(F.get("_hits", F.lit(0))[c]).alias(f"_e_{c}") for c in spec.entity]
-        ambiguous = F.concat(F.lit("Source row is ambiguous. It matches multiple distinct target entities: ["), F.array_join(F.transform("_hits", lambda h: F.to_json(h)), ", "), F.lit("]"))
-        error = F.when(F.col("_wrong").isNotNull(), F.col("_wrong")).when(F.size("_hits") > 1, ambiguous)
+        new_identity = [F.when(F.col("_new"), F.col(f"_e_{c}")).otherwise(F.col("_hits._hit")[c]).alias(f"_e_{c}") for c in spec.entity]
+        more = F.when(F.col("_hits._n") > 10, ", ...").otherwise("")
+        ambiguous = F.concat(F.lit("Source row is ambiguous. It matches multiple distinct target entities: ["), F.array_join(F.transform("_hits._ten", lambda h: F.to_json(h)), ", "), more, F.lit("]"))
+        error = F.when(F.col("_wrong").isNotNull(), F.col("_wrong")).when(F.col("_hits._n") > 1, ambiguous)
         if spec.natural_keys and spec.identity and not spec.founding_id:
             nothing = ~_some([F.col(n) for n in names]) & ~_some([F.col(f"_l_{c}") for c in spec.lookup])
             text = f"Source row is unidentifiable. It has NULL for all stable identity columns {{{', '.join(spec.identity)}}} and all natural keys [{', '.join('[' + ', '.join(k) + ']' for k in spec.natural_keys)}]"
             error = error.when(F.col("_new") & nothing, F.lit(text))
         joined = joined.select(*[c for c in rows.columns if c not in names], *new_identity, "_new", error.alias("_error"))
-        existing = F.concat(F.lit("existing_entity__"), _json([F.col(f"_e_{c}").alias(c) for c in spec.entity]))
+        return self._hold(self._grouped(joined))
+
+    def _grouped_by_identity(self, rows: DataFrame, theirs: DataFrame) -> DataFrame:
+        """The same where the identity alone finds entities, each of which is hit at most once."""
+        names = [f"_e_{c}" for c in self.spec.entity]
+        hit = theirs.select(*[F.col(f"_t_{c}") for c in self.spec.entity], F.lit(True).alias("_there"))
+        joined = rows.join(hit, [F.col(n).eqNullSafe(F.col(f"_t_{c}")) for n, c in zip(names, self.spec.entity, strict=True)], "left")
+        return self._grouped(joined.select(*rows.columns, F.col("_there").isNull().alias("_new"), F.col("_wrong").alias("_error")))
+
+    def _grouped(self, joined: DataFrame) -> DataFrame:
+        """joined with _g, the key of its entity: one of the target, or a new one."""
+        spec = self.spec
+        identity = _json([F.col(f"_e_{c}").alias(c) for c in spec.entity])
+        existing = F.concat(F.lit("existing_entity__"), identity)
         if spec.founding_id:
             fresh = F.concat(F.lit("new_entity__"), F.col("_causal"))
         else:
-            by_identity = F.when(_some([F.col(n) for n in names]), F.concat(F.lit("new_entity__"), _json([F.col(f"_e_{c}").alias(c) for c in spec.entity])))
+            by_identity = F.when(_some([F.col(f"_e_{c}") for c in spec.entity]), F.concat(F.lit("new_entity__"), identity))
             fresh = F.coalesce(by_identity, F.concat(F.lit("new_entity__row_"), F.col("_causal")))
             if spec.natural_keys:
                 joined = joined.join(self._natural_groups(joined), "_rid", "left")
                 fresh = F.coalesce(F.col("_natural"), fresh)
-        grouped = joined.withColumn("_g", F.when(F.col("_new"), fresh).otherwise(existing))
-        return self._hold(grouped.drop("_natural", "_wrong"))
+        return joined.withColumn("_g", F.when(F.col("_new"), fresh).otherwise(existing)).drop("_natural", "_wrong")
 
     def _natural_groups(self, joined: DataFrame) -> DataFrame:
         """_rid and _natural for new rows with some natural key: rows that share a key, or are linked by others that do,
@@ -222,79 +244,69 @@ class TemporalMerge:
         keys = [F.col(f"_l_{c}").alias(c) for c in self.spec.lookup]
         part = F.coalesce(F.when(_some([F.col(f"_l_{c}") for c in self.spec.lookup]), _json(keys)), F.col("_causal")) if keys else F.col("_causal")
         rows = rows.select("_rid", "_f", "_u", part.alias("_part"))
-        pieces = _pieces(rows.select("_part", F.explode(F.array("_f", "_u")).alias("_p")), "_part")
-        latest = pieces.join(rows, "_part").where("_f <= _p and _u >= _n").groupBy("_part", "_p").agg(F.max("_rid").alias("_latest"))
-        return rows.select("_rid").join(latest.select(F.col("_latest").alias("_rid")).distinct(), "_rid", "left_anti").withColumn("_eclipsed", F.lit(True))
+        rows = rows.repartition("_part").sortWithinPartitions("_part")
+        return rows.mapInArrow(sweep.eclipsed(), "_rid long").withColumn("_eclipsed", F.lit(True))
 
     # -- the new history --------------------------------------------------------------------------------------------
 
-    @cached_property
-    def _marked_target(self) -> DataFrame:
-        entity = _json([F.col(c) for c in self.spec.entity])
-        return self.target.withColumn("_g", F.concat(F.lit("existing_entity__"), entity))
-
     @cached_property
     def _touched(self) -> DataFrame:
-        return self.judged.where("not _new").select("_g").distinct()
+        """The identities of the target's entities that the source names."""
+        return self._hold(self.judged.where("not _new").select(*[F.col(f"_e_{c}").alias(f"_k_{c}") for c in self.spec.entity]).distinct())
+
+    def _of_touched(self, how: str) -> DataFrame:
+        return self.target.join(self._touched, [F.col(f"`{c}`").eqNullSafe(F.col(f"_k_{c}")) for c in self.spec.entity], how)
 
     @cached_property
     def _scope(self) -> DataFrame:
         """Target rows of the entities that the merge looks at."""
-        rows = self._marked_target if self.spec.deletes_entities else self._marked_target.join(self._touched, "_g", "left_semi")
         spec = self.spec
-        return self._hold(rows.select("_g", F.col(spec.f).alias("_tf"), F.col(spec.u).alias("_tu"), *[F.col(c).alias(f"_e_{c}") for c in spec.entity], *[F.col(c).alias(f"_t_{c}") for c in self.payload]))
+        rows = self.target if spec.deletes_entities else self._of_touched("left_semi")
+        key = F.concat(F.lit("existing_entity__"), _json([F.col(f"`{c}`").alias(c) for c in spec.entity]))
+        return self._hold(rows.select(key.alias("_g"), F.col(spec.f).alias("_tf"), F.col(spec.u).alias("_tu"), *[F.col(f"`{c}`").alias(f"_e_{c}") for c in spec.entity], *[F.col(f"`{c}`").alias(f"_t_{c}") for c in self.payload]))
 
     @cached_property
     def _active(self) -> DataFrame:
         return self.judged.where("_skip is null and _f < _u")
 
     @cached_property
-    def _pieces(self) -> DataFrame:
-        ends = lambda df, f, u: df.select("_g", F.explode(F.array(f, u)).alias("_p"))
-        return self._hold(_pieces(ends(self._active, "_f", "_u").unionByName(ends(self._scope, "_tf", "_tu")), "_g"))
-
-    def _near(self, *columns: str) -> DataFrame:
-        """Pieces with the source rows that cover or touch them."""
-        sides = self._active.select(F.col("_g").alias("_sg"), "_rid", "_f", "_u", *columns)
-        return self._pieces.join(sides, (F.col("_g") == F.col("_sg")) & (F.col("_f") <= F.col("_n")) & (F.col("_u") >= F.col("_p"))).drop("_sg")
+    def _swept(self) -> DataFrame:
+        """The pieces of the history with the rows that answer for them (see sweep.pieces)."""
+        spec, kinds = self.spec, dict(self.target.dtypes)
+        kept_old = [c for c in self.given if c not in spec.ephemeral and (spec.patch or c in spec.required)]
+        entity = [F.col(f"_e_{c}") for c in spec.entity]
+        value = lambda c: F.col(f"_s_{c}") if c in self.given else F.lit(None).cast(kinds[c])
+        ours = self._active.select("_g", F.lit(False).alias("_target"), "_rid", "_f", "_u", "_causal", *entity, *[value(c).alias(f"_v_{c}") for c in self.payload])
+        theirs = self._scope.select("_g", F.lit(True).alias("_target"), F.lit(None).cast("long").alias("_rid"), F.col("_tf").alias("_f"), F.col("_tu").alias("_u"), F.lit(None).cast("string").alias("_causal"), *entity, *[F.col(f"_t_{c}").alias(f"_v_{c}") for c in self.payload])
+        rows = ours.unionByName(theirs).where("_f < _u").repartition("_g").sortWithinPartitions("_g")
+        kind = self.kind.simpleString()
+        schema = f"_g string, _p {kind}, _n {kind}, _sourced boolean, _tf {kind}, _tu {kind}, _last long, _lf {kind}, _lu {kind}, _by string, _next_to long, _first_rid long, _cause string, _is_new boolean"
+        fields = [*[(f"_e_{c}", kinds[c]) for c in spec.entity], *[(f"_s_{c}", kinds[c]) for c in self.given], *[(f"_t_{c}", kinds[c]) for c in self.payload]]
+        schema += "".join(f", `{name}` {kind}" for name, kind in fields)
+        return rows.mapInArrow(sweep.pieces(list(spec.entity), self.payload, self.given, kept_old), schema)
 
     @cached_property
     def marked(self) -> DataFrame:
         """The pieces of the new history, with the block that each belongs to."""
-        spec, active = self.spec, self._active
-        covers, touches = "_f <= _p and _u >= _n", "_f = _n or _u = _p"
-        kept_old = [c for c in self.given if c not in spec.ephemeral and (spec.patch or c in spec.required)]
-        # numbers alone are gathered here, which aggregate fast; what the last row says is looked up by its number
-        gathered = self._near(*[f"_s_{c}" for c in kept_old]).groupBy("_g", "_p").agg(
-            F.expr(f"count_if({covers})").alias("_covering"), F.expr(f"max(_rid) filter (where {covers})").alias("_last"), F.expr(f"min(_rid) filter (where {touches})").alias("_next_to"),
-            *[F.expr(f"max_by(`_s_{c}`, _rid) filter (where {covers} and `_s_{c}` is not null)").alias(f"_s_{c}") for c in kept_old])
-        last = active.select(F.col("_rid").alias("_lrid"), F.struct("_f", "_u").alias("_period"), F.col("_causal").alias("_by"), *[f"_s_{c}" for c in self.given if c not in kept_old])
-        facts = active.groupBy("_g").agg(F.min("_rid").alias("_first_rid"), F.min("_causal").alias("_cause"))
-        t = self._scope.drop(*[f"_e_{c}" for c in spec.entity]).withColumnRenamed("_g", "_tg")
-        found = self._pieces.join(gathered, ["_g", "_p"], "left").join(facts, "_g", "left")
-        found = found.join(t, (F.col("_g") == F.col("_tg")) & (F.col("_tf") <= F.col("_p")) & (F.col("_tu") >= F.col("_n")), "left").drop("_tg")
-        sourced, targeted = F.coalesce(F.col("_covering") > 0, F.lit(False)), F.col("_tf").isNotNull()
-        found = found.withColumns({"_sourced": sourced, "_targeted": targeted, "_entity_active": F.col("_first_rid").isNotNull()})
-        found = found.where("_sourced or _targeted")
+        spec, found = self.spec, self._swept
+        targeted = F.col("_tf").isNotNull()
+        found = found.withColumns({"_targeted": targeted, "_entity_active": F.col("_first_rid").isNotNull()})
         if spec.portion:
             found = found.where("_targeted" if spec.mode != "DELETE_FOR_PORTION_OF" else "_targeted and not _sourced")
         if spec.deletes_timeline:
             found = found.where("_sourced or not _entity_active")
         if spec.deletes_entities:
             found = found.where("_entity_active")
-        # pieces without a source row get keys of their own, so that they don't meet in one task
-        key = F.coalesce(F.col("_last"), -F.abs(F.xxhash64("_g", "_p")) - F.lit(1))
-        found = found.withColumn("_key", key).join(last, (F.col("_key") == F.col("_lrid")) & F.col("_last").isNotNull(), "left").drop("_key", "_lrid")
         found = found.select(
-            "_g", "_p", "_n", "_sourced", "_tf", "_cause", "_by", "_last", F.when(F.col("_entity_active"), F.coalesce("_next_to", "_first_rid")).alias("_beside"),
-            F.when(F.col("_sourced") & targeted, allen(F.col("_period._f"), F.col("_period._u"), F.col("_tf"), F.col("_tu"))).alias("_st"),
-            *[self._value(c).alias(f"_c_{c}") for c in self.payload])
+            "_g", "_p", "_n", "_sourced", "_tf", "_cause", "_by", "_last", F.when(F.col("_entity_active"), F.coalesce("_next_to", "_first_rid")).alias("_beside"), "_is_new",
+            F.when(F.col("_sourced") & targeted, allen(F.col("_lf"), F.col("_lu"), F.col("_tf"), F.col("_tu"))).alias("_st"),
+            *[F.col(f"`_e_{c}`") for c in spec.entity], *[self._value(c).alias(f"_c_{c}") for c in self.payload])
         own = Window.partitionBy("_g").orderBy("_p")
         same = F.lag("_n").over(own) == F.col("_p")
         for c in self.data:
             same = same & F.lag(self._comparable(f"_c_{c}")).over(own).eqNullSafe(self._comparable(f"_c_{c}"))
         found = found.withColumn("_start", F.when(same, 0).otherwise(1))
-        return self._hold(found.withColumn("_block", F.sum("_start").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_start"))
+        return found.withColumn("_block", F.sum("_start").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -306,18 +318,18 @@ class TemporalMerge:
             "_f": F.first("_p").over(whole), "_u": F.last("_n").over(whole), "_from": F.first("_tf", ignorenulls=True).over(whole), "_any": F.max("_sourced").over(whole),
             "s_t_relation": F.first("_st", ignorenulls=True).over(whole), "_by": F.first("_by", ignorenulls=True).over(whole), **{f"_c_{c}": F.last(f"_c_{c}").over(whole) for c in spec.ephemeral},
             "_nth": F.row_number().over(Window.partitionBy("_g", "_block").orderBy("_p"))}).where("_nth = 1")
-        return self._hold(blocks.select("_g", "_block", "_f", "_u", "_from", F.col("_any").alias("_sourced"), "s_t_relation", "_cause", "_by", *[f"_c_{c}" for c in self.payload]))
+        return blocks.select("_g", "_block", "_f", "_u", "_from", F.col("_any").alias("_sourced"), "s_t_relation", "_cause", "_by", "_is_new", *[f"_e_{c}" for c in spec.entity], *[f"_c_{c}" for c in self.payload])
 
     @cached_property
     def _row_ids(self) -> DataFrame:
         """The source rows behind each block: those that cover a piece (the last alone in modes where it answers), or for
         pieces of the target alone one beside them."""
-        ours = self.marked.select("_g", "_block", "_p", "_sourced", "_last", "_beside")
+        ours = self.marked.select("_g", "_block", "_p", "_n", "_sourced", "_last", "_beside")
         if not self.spec.last_only:
-            over = self._near().where("_f <= _p and _u >= _n").select("_g", "_p", "_rid")
-            ours = ours.join(over, ["_g", "_p"], "left").withColumn("_last", F.col("_rid"))
-        named = ours.groupBy("_g", "_block").agg(F.array_sort(F.collect_set(F.coalesce("_last", "_beside"))).alias("row_ids"))
-        return named
+            sides = self._active.select(F.col("_g").alias("_sg"), "_rid", F.col("_f").alias("_sf"), F.col("_u").alias("_su"))
+            over = (F.col("_g") == F.col("_sg")) & (F.col("_sf") <= F.col("_p")) & (F.col("_su") >= F.col("_n"))
+            ours = ours.join(sides, over, "left").withColumn("_last", F.col("_rid"))
+        return ours.groupBy("_g", "_block").agg(F.array_sort(F.collect_set(F.coalesce("_last", "_beside"))).alias("row_ids"))
 
     def _comparable(self, name: str) -> Column:
         column = name.removeprefix("_c_").removeprefix("_t_")
@@ -332,26 +344,27 @@ class TemporalMerge:
         return F.when(F.col("_sourced"), new).otherwise(old)
 
     @cached_property
-    def _entities(self) -> DataFrame:
-        """_g with the identity, generated where it has to be; _is_new."""
-        spec = self.spec
-        names = [f"_e_{c}" for c in spec.entity]
-        old = self._scope.select("_g", *names).distinct().withColumn("_is_new", F.lit(False))
-        new = self._active.where("_new").groupBy("_g").agg(*[F.expr(f"max_by(`{n}`, _rid) filter (where `{n}` is not null)").alias(n) for n in names], F.min("_rid").alias("_first"))
-        if spec.generated_identity:
-            name, kind = f"_e_{spec.generated_identity}", dict(self.target.dtypes)[spec.generated_identity]
-            without = new.where(F.col(name).isNull())
-            start = self.target.agg(F.max(spec.generated_identity)).first()[0] or 0
-            given = new.agg(F.max(name)).first()[0] or 0
-            numbered = _numbered(without, "_first", "_g").withColumn(name, (F.col("_number") + F.lit(max(start, given))).cast(kind)).drop("_number")
-            new = new.where(F.col(name).isNotNull()).unionByName(numbered.select(*new.columns))
-        return self._hold(old.unionByName(new.drop("_first").withColumn("_is_new", F.lit(True))))
+    def _numbers(self) -> DataFrame:
+        """_g of new entities without an identity, and the number that they get; in the order of their first source rows."""
+        name, spec = f"_e_{self.spec.generated_identity}", self.spec
+        new = self._active.where("_new").groupBy("_g").agg(F.max(name).alias("_given"), F.min("_rid").alias("_first"))
+        start = self.target.agg(F.max(spec.generated_identity)).first()[0] or 0
+        given = new.agg(F.max("_given")).first()[0] or 0
+        numbered = _numbered(new.where("_given is null"), "_first", "_g")
+        return self._hold(numbered.select("_g", (F.col("_number") + F.lit(max(start, given))).cast(dict(self.target.dtypes)[spec.generated_identity]).alias("_made")))
+
+    def _identified(self, rows: DataFrame) -> DataFrame:
+        """rows (with _g and _e_*) with the generated identity filled in."""
+        if not self.spec.generated_identity:
+            return rows
+        name = f"_e_{self.spec.generated_identity}"
+        return rows.join(self._numbers, "_g", "left").withColumn(name, F.coalesce(F.col(name), F.col("_made"))).drop("_made")
 
     @cached_property
     def target_after(self) -> DataFrame:
         """The new snapshot: the target's columns, entities out of scope as they were."""
         spec = self.spec
-        rows = self.resolved.join(self._entities, "_g")
+        rows = self._identified(self.resolved)
         inserted = F.col("_from").isNull()
         value = lambda c: F.when(inserted & F.col(f"_c_{c}").isNull(), F.lit(spec.defaults[c])).otherwise(F.col(f"_c_{c}")) if c in spec.defaults else F.col(f"_c_{c}")
         parts = {c: value(c) for c in self.payload} | {spec.f: F.col("_f"), spec.u: F.col("_u")} | {c: F.col(f"_e_{c}") for c in spec.entity}
@@ -360,7 +373,7 @@ class TemporalMerge:
         made = rows.select(*[parts[c].cast(dict(self.target.dtypes)[c]).alias(c) for c in self.target.columns])
         if spec.deletes_entities:
             return made
-        rest = self._marked_target.join(self._touched, "_g", "left_anti").select(*self.target.columns)
+        rest = self._of_touched("left_anti").select(*[F.col(f"`{c}`") for c in self.target.columns])
         return rest.unionByName(made)
 
     # -- what was done ----------------------------------------------------------------------------------------------
@@ -374,10 +387,11 @@ class TemporalMerge:
         grouping_key. Deletions name the source rows that overlap what they delete. ordered_plan() numbers the rows.
         """
         spec = self.spec
-        t = self._scope.withColumnRenamed("_g", "_tg").drop(*[f"_e_{c}" for c in spec.entity])
-        blocks = self.resolved.join(self._row_ids, ["_g", "_block"])
+        self._hold(self.marked), self._hold(self.resolved)
+        t = self._scope.withColumnsRenamed({"_g": "_tg"} | {f"_e_{c}": f"_te_{c}" for c in spec.entity})
+        blocks = self._identified(self.resolved.join(self._row_ids, ["_g", "_block"]))
         both = blocks.join(t, (F.col("_g") == F.col("_tg")) & (F.col("_from") == F.col("_tf")), "full")
-        both = both.withColumn("_g", F.coalesce("_g", "_tg"))
+        both = both.withColumns({"_g": F.coalesce("_g", "_tg"), "_is_new": F.coalesce("_is_new", F.lit(False)), **{f"_e_{c}": F.coalesce(f"_te_{c}", f"_e_{c}") for c in spec.entity}})
         equal = lambda columns: reduce(lambda a, b: a & b, [self._comparable(f"_c_{c}").eqNullSafe(self._comparable(f"_t_{c}")) for c in columns], F.lit(True))
         both = both.withColumns({"_same_data": equal(self.data), "_same_all": equal(self.payload)})
         own = Window.partitionBy("_g", "_tf").orderBy((F.col("_f") == F.col("_tf")).desc(), F.col("_same_data").desc(), "_f", "_u")
@@ -395,7 +409,7 @@ class TemporalMerge:
         gone = both.where("operation = 'DELETE'").select("_g", "_tf", "_tu").join(over, (F.col("_g") == F.col("_og")) & (F.col("_of") < F.col("_tu")) & (F.col("_ou") > F.col("_tf")))
         gone = gone.groupBy("_g", "_tf").agg(F.array_sort(F.collect_set("_orid")).alias("_gone"))
         both = both.join(gone, ["_g", "_tf"], "left").withColumn("row_ids", F.coalesce("row_ids", "_gone", F.array().cast("array<long>")))
-        done = both.join(self._entities, "_g", "left").withColumn("update_effect", effect)
+        done = both.withColumn("update_effect", effect)
         keep = lambda c: F.when(F.col("operation") == "DELETE", F.col(f"_t_{c}")).otherwise(F.col(f"_c_{c}"))
         done = done.select(
             "row_ids", "operation", "update_effect", F.when(F.col("_is_new"), F.coalesce("_by", "_cause")).otherwise(F.col("_cause")).alias("causal_id"), F.col("_is_new").alias("is_new_entity"),
@@ -437,7 +451,10 @@ class TemporalMerge:
     @cached_property
     def source_with_identity(self) -> DataFrame:
         """The source with the identity of its entities filled in, generated ones included."""
-        ids = self.judged.select("_rid", "_g").join(self._entities.drop("_is_new"), "_g").drop("_g")
+        names = [f"_e_{c}" for c in self.spec.entity]
+        new = self._active.where("_new").groupBy("_g").agg(*[F.expr(f"max_by(`{n}`, _rid) filter (where `{n}` is not null)").alias(n) for n in names])
+        new = self.judged.where("_new").select("_rid", "_g").join(self._identified(new), "_g")
+        ids = self.judged.where("not _new and _error is null").select("_rid", *names).unionByName(new.select("_rid", *names))
         joined = self.source.join(ids, F.col(self.spec.row_id).cast("long") == F.col("_rid"), "left")
         kept = [c for c in self.source.columns if c not in self.spec.entity]
         filled = [F.coalesce(F.col(f"_e_{c}"), *([F.col(c)] if c in self.source.columns else [])).alias(c) for c in self.spec.entity]
@@ -463,12 +480,6 @@ class TemporalMerge:
         return df
 
 
-def _pieces(points: DataFrame, key: str) -> DataFrame:
-    """key, _p and _n: consecutive boundaries of each key."""
-    points = points.distinct()
-    return points.withColumn("_n", F.lead("_p").over(Window.partitionBy(key).orderBy("_p"))).where("_n is not null")
-
-
 def _numbered(rows: DataFrame, order: str, tie: str) -> DataFrame:
     from tidemark.operators.ordering import global_rank
 
