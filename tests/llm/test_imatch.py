@@ -51,7 +51,7 @@ def signed(h):
 
 
 def words(text):
-    w = (text or "").translate({i: i + 32 for i in range(65, 91)}).encode().split()
+    w = (text or "").lower().encode().split()
     return sorted({signed(xxhash.xxh64_intdigest(x, 42)) for x in w})
 
 

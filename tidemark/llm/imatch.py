@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, session_constant, stored
+from tidemark.llm.common import session_constant, stored
 
 #: Terms in over 5 % of the documents, or in under one of 10,000, are not of the lexicon.
 IDF_BAND = (3.0, 9.2)
@@ -29,9 +29,12 @@ PART_CHARS = 128_000_000
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the distinct words of a text, sorted."""
-    words = F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
-    return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
+    """Hashes of the distinct lower-cased words of a text, sorted; words end at ASCII white space."""
+    text = F.lower(F.coalesce(text, F.lit("")))
+    for space in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    hashes = F.array_distinct(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
 def lexicon(texts: DataFrame, idf_band: tuple[float, float] = IDF_BAND) -> DataFrame:
