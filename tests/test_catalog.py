@@ -107,3 +107,23 @@ def test_snapshots_and_streaming_merge(spark, units, tmp_path):
     assert told == ["APPLIED"] * 2 and table.version() == 3
     assert sorted(r["name"] for r in table.read().where("id = 1").collect()) == ["one", "one", "v0", "v1"]
     assert table.read(1).count() == 2
+
+
+def test_a_batch_that_is_run_again_is_not_merged_twice(spark, units, tmp_path):
+    import shutil
+
+    table = SnapshotTable(spark, f"file://{tmp_path}/unit")
+    table.write(units)
+    schema = "row_id int, " + UNITS
+    spark.createDataFrame([(1, None, "Z", "found", "n", D("2024-02-01"), D("2024-03-01"))], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def start():
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        merge_batches(stream, table, f"{tmp_path}/checkpoint", identity=["id"], generated_identity="id").awaitTermination()
+
+    start()
+    held, version = table.read().count(), table.version()
+    for name in ("0", ".0.crc"):  # the batch's commit is lost, the table has it
+        shutil.move(f"{tmp_path}/checkpoint/commits/{name}", f"{tmp_path}/{name}.lost")
+    start()
+    assert (table.read().count(), table.version()) == (held, version) and table.last_batch(f"{tmp_path}/checkpoint") == 0

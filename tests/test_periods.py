@@ -168,3 +168,15 @@ def test_views(spark):
 def test_global_rank(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("v"))
     assert all(r["v"] == r["n"] for r in global_rank(df, [F.col("v")], "n").collect())
+
+
+def test_open_ends_and_bounds_as_text(spark):
+    t = lambda x: f"2024-{x:02d}-01 00:00:00"
+    left = spark.createDataFrame([(1, t(1), "9999-12-31 23:59:59"), (2, t(3), t(4))], "id int, f string, u string").selectExpr("id", "cast(f as timestamp_ntz) as valid_from", "cast(u as timestamp_ntz) as valid_until")
+    right = left.selectExpr("id + 10 as id", "valid_from", "valid_until")
+    pairs = intervals.overlap_join(left, right, 86400)
+    assert sorted((r["id"], r["right_id"]) for r in pairs.collect()) == [(1, 11), (1, 12), (2, 11), (2, 12)]
+    both = left.withColumnsRenamed({"valid_from": "system_valid_from", "valid_until": "system_valid_until"})
+    assert versioning.states_between(both, "2024-9-1", "2024-10-1").count() == 1
+    with pytest.raises(Exception, match="lower bound"):
+        versioning.states_between(both, "2024-10-01", "2024-9-1").collect()

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.period import contains_point, intersection, overlaps
 
 
+BACKWARDS = "range lower bound must be less than or equal to range upper bound"
+
+
 def _value(at: Any) -> Column:
     return at if isinstance(at, Column) else F.lit(at)
 
@@ -20,10 +23,13 @@ def as_of(df: DataFrame, at: Any, f: str = "valid_from", u: str = "valid_until")
 
 
 def between(df: DataFrame, a: Any, b: Any, f: str = "valid_from", u: str = "valid_until") -> DataFrame:
-    """Rows that meet the closed range [a, b]; a must not be after b."""
-    if not isinstance(a, Column) and not isinstance(b, Column) and a > b:
-        raise ValueError("range lower bound must be less than or equal to range upper bound")
-    return df.where((F.col(f) <= _value(b)) & (F.col(u) > _value(a)))
+    """Rows that meet the closed range [a, b]; a must not be after b: plain values are refused at once, columns fail the query."""
+    if not isinstance(a, Column) and not isinstance(b, Column):
+        if a > b:
+            raise ValueError(BACKWARDS)
+        return df.where((F.col(f) <= b) & (F.col(u) > a))
+    low = F.when(_value(a) > _value(b), F.raise_error(F.lit(BACKWARDS))).otherwise(_value(a))
+    return df.where((F.col(f) <= _value(b)) & (F.col(u) > low))
 
 
 def between_symmetric(df: DataFrame, a: Any, b: Any, f: str = "valid_from", u: str = "valid_until") -> DataFrame:
@@ -57,11 +63,19 @@ def overlap_join(left: DataFrame, right: DataFrame, width: Any, f: str = "valid_
     """Pairs of overlapping periods of two frames without a common key, columns of the right side prefixed with right_.
 
     Both sides are dealt into time buckets `width` seconds (or numbers) wide and joined on the bucket; a pair is made only
-    in the first bucket that its members share. Choose a width near the usual length of a period.
+    in the first bucket that its members share. Choose a width near the usual length of a period. No period is dealt beyond
+    the last start of the other side, so open ends cost no more than the others.
     """
     number = lambda c, df: F.unix_seconds(F.col(c).cast("timestamp")) if dict(df.dtypes)[c] in ("date", "timestamp", "timestamp_ntz") else F.col(c)
-    deal = lambda df: df.withColumn("_b0", F.floor(number(f, df) / width)).withColumn("_b", F.explode(F.sequence("_b0", F.floor(number(u, df) / width))))
-    l, r = deal(left), deal(right)  # noqa: E741
+    started = lambda df: df.withColumn("_b0", F.floor(number(f, df) / width))
+
+    def deal(df: DataFrame, other: DataFrame) -> DataFrame:
+        last = other.agg(F.max("_b0").alias("_last"))
+        reach = F.greatest("_b0", F.least(F.floor(number(u, df) / width), F.col("_last")))
+        return df.where(F.col(f) < F.col(u)).crossJoin(F.broadcast(last)).withColumn("_b", F.explode(F.sequence("_b0", reach))).drop("_last")
+
+    l, r = started(left), started(right)  # noqa: E741
+    l, r = deal(l, r), deal(r, l)  # noqa: E741
     r = r.select(*[F.col(c).alias(c if c == "_b" else f"right_{c}") for c in r.columns])
     pairs = l.join(r, "_b").where((F.col("_b") == F.greatest("_b0", "right__b0")) & overlaps(F.col(f), F.col(u), F.col(f"right_{f}"), F.col(f"right_{u}")))
     return pairs.drop("_b", "_b0", "right__b0")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.period import allen, forever, is_discrete, predecessor, successor
 from tidemark.operators import sweep
 from tidemark.operators.graph import components
+from tidemark.sources.snapshots import settled
 
 MODES = (
     "MERGE_ENTITY_PATCH", "MERGE_ENTITY_UPSERT", "MERGE_ENTITY_REPLACE", "INSERT_NEW_ENTITIES",
@@ -104,10 +105,11 @@ def _some(columns: list[Column]) -> Column:
 class TemporalMerge:
     """A merge of source into target, worked out lazily: plan, target_after, feedback, source_with_identity.
 
-    persist() keeps the steps that these share; release() lets them go.
+    persist: what becomes of the steps that these share. "memory" caches them until release(), "settled" writes them to the
+    shared folder, where they also survive lost executors, and None works them out for each result.
     """
 
-    def __init__(self, target: DataFrame, source: DataFrame, spec: MergeSpec):
+    def __init__(self, target: DataFrame, source: DataFrame, spec: MergeSpec, persist: str | None = None):
         self.target, self.spec = target, spec
         self.kind = target.schema[spec.f].dataType
         needed = [spec.row_id, *([spec.founding_id] if spec.founding_id else [])]
@@ -122,6 +124,7 @@ class TemporalMerge:
         self.data = [c for c in self.payload if c not in spec.ephemeral]
         self.given = [c for c in self.payload if c in source.columns]
         self._held: list[DataFrame] = []
+        self._persist = persist
 
     # -- who is who -------------------------------------------------------------------------------------------------
 
@@ -162,7 +165,7 @@ class TemporalMerge:
             asked = usable.drop("_rid").distinct()
             theirs = self.target.select(*[F.col(f"`{c}`").alias(f"_t_{c}") for c in dict.fromkeys([*key, *spec.entity])]).join(asked, same, "left_semi").distinct()
             if by_identity and not spec.natural_keys:
-                return self._hold(self._grouped_by_identity(rows, theirs))
+                return self._grouped_by_identity(rows, theirs)
             hit = usable.join(theirs, same).select("_rid", F.lit(0 if by_identity else 1).alias("_by"), F.struct(*[F.col(f"_t_{c}").alias(c) for c in spec.entity]).alias("_hit"))
             found = hit if found is None else found.unionByName(hit)
         # a key can hit any number of entities: their number and the first ten are enough
@@ -182,7 +185,7 @@ class TemporalMerge:
             text = f"Source row is unidentifiable. It has NULL for all stable identity columns {{{', '.join(spec.identity)}}} and all natural keys [{', '.join('[' + ', '.join(k) + ']' for k in spec.natural_keys)}]"
             error = error.when(F.col("_new") & nothing, F.lit(text))
         joined = joined.select(*[c for c in rows.columns if c not in names], *new_identity, "_new", error.alias("_error"))
-        return self._hold(self._grouped(joined))
+        return self._grouped(joined)
 
     def _grouped_by_identity(self, rows: DataFrame, theirs: DataFrame) -> DataFrame:
         """The same where the identity alone finds entities, each of which is hit at most once."""
@@ -252,7 +255,7 @@ class TemporalMerge:
     @cached_property
     def _touched(self) -> DataFrame:
         """The identities of the target's entities that the source names."""
-        return self._hold(self.judged.where("not _new").select(*[F.col(f"_e_{c}").alias(f"_k_{c}") for c in self.spec.entity]).distinct())
+        return self.judged.where("not _new").select(*[F.col(f"_e_{c}").alias(f"_k_{c}") for c in self.spec.entity]).distinct()
 
     def _of_touched(self, how: str) -> DataFrame:
         return self.target.join(self._touched, [F.col(f"`{c}`").eqNullSafe(F.col(f"_k_{c}")) for c in self.spec.entity], how)
@@ -269,8 +272,7 @@ class TemporalMerge:
     def _active(self) -> DataFrame:
         return self.judged.where("_skip is null and _f < _u")
 
-    @cached_property
-    def _swept(self) -> DataFrame:
+    def _swept(self, named: bool) -> DataFrame:
         """The pieces of the history with the rows that answer for them (see sweep.pieces)."""
         spec, kinds = self.spec, dict(self.target.dtypes)
         kept_old = [c for c in self.given if c not in spec.ephemeral and (spec.patch or c in spec.required)]
@@ -282,13 +284,13 @@ class TemporalMerge:
         kind = self.kind.simpleString()
         schema = f"_g string, _p {kind}, _n {kind}, _sourced boolean, _tf {kind}, _tu {kind}, _last long, _lf {kind}, _lu {kind}, _by string, _next_to long, _first_rid long, _cause string, _is_new boolean"
         fields = [*[(f"_e_{c}", kinds[c]) for c in spec.entity], *[(f"_s_{c}", kinds[c]) for c in self.given], *[(f"_t_{c}", kinds[c]) for c in self.payload]]
-        schema += "".join(f", `{name}` {kind}" for name, kind in fields)
-        return rows.mapInArrow(sweep.pieces(list(spec.entity), self.payload, self.given, kept_old), schema)
+        schema += "".join(f", `{name}` {kind}" for name, kind in fields) + ", _ids array<long>" * named
+        return rows.mapInArrow(sweep.pieces(list(spec.entity), self.payload, self.given, kept_old, named), schema)
 
-    @cached_property
-    def marked(self) -> DataFrame:
-        """The pieces of the new history, with the block that each belongs to."""
-        spec, found = self.spec, self._swept
+    def _marked(self, named: bool = False) -> DataFrame:
+        """The pieces of the new history, with the block that each belongs to. named: also the source rows behind each (_ids):
+        those that cover it (the last alone in modes where it answers), or for a piece of the target alone one beside it."""
+        spec, found = self.spec, self._swept(named and not self.spec.last_only)
         targeted = F.col("_tf").isNotNull()
         found = found.withColumns({"_targeted": targeted, "_entity_active": F.col("_first_rid").isNotNull()})
         if spec.portion:
@@ -297,8 +299,10 @@ class TemporalMerge:
             found = found.where("_sourced or not _entity_active")
         if spec.deletes_entities:
             found = found.where("_entity_active")
+        beside = F.when(F.col("_entity_active"), F.coalesce("_next_to", "_first_rid"))
+        behind = F.when(F.col("_last").isNotNull(), F.array("_last") if spec.last_only else F.col("_ids")).when(beside.isNotNull(), F.array(beside))
         found = found.select(
-            "_g", "_p", "_n", "_sourced", "_tf", "_cause", "_by", "_last", F.when(F.col("_entity_active"), F.coalesce("_next_to", "_first_rid")).alias("_beside"), "_is_new",
+            "_g", "_p", "_n", "_sourced", "_tf", "_cause", "_by", "_is_new", *([behind.alias("_ids")] if named else []),
             F.when(F.col("_sourced") & targeted, allen(F.col("_lf"), F.col("_lu"), F.col("_tf"), F.col("_tu"))).alias("_st"),
             *[F.col(f"`_e_{c}`") for c in spec.entity], *[self._value(c).alias(f"_c_{c}") for c in self.payload])
         own = Window.partitionBy("_g").orderBy("_p")
@@ -308,28 +312,19 @@ class TemporalMerge:
         found = found.withColumn("_start", F.when(same, 0).otherwise(1))
         return found.withColumn("_block", F.sum("_start").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
 
-    @cached_property
-    def resolved(self) -> DataFrame:
-        """The coalesced pieces, one row for each block: _g, _block, _f, _u, _from (start of the target row that it comes from), _c_* payload, ..."""
+    def _resolved(self, named: bool = False) -> DataFrame:
+        """The coalesced pieces, one row for each block: _g, _block, _f, _u, _from (start of the target row that it comes from),
+        _e_*, _c_* payload, ... and with `named` row_ids, the source rows behind it."""
         # a block's values are those of its first piece, its ephemeral ones those of its last
         spec = self.spec
-        whole = Window.partitionBy("_g", "_block").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        blocks = self.marked.withColumns({
-            "_f": F.first("_p").over(whole), "_u": F.last("_n").over(whole), "_from": F.first("_tf", ignorenulls=True).over(whole), "_any": F.max("_sourced").over(whole),
-            "s_t_relation": F.first("_st", ignorenulls=True).over(whole), "_by": F.first("_by", ignorenulls=True).over(whole), **{f"_c_{c}": F.last(f"_c_{c}").over(whole) for c in spec.ephemeral},
-            "_nth": F.row_number().over(Window.partitionBy("_g", "_block").orderBy("_p"))}).where("_nth = 1")
-        return blocks.select("_g", "_block", "_f", "_u", "_from", F.col("_any").alias("_sourced"), "s_t_relation", "_cause", "_by", "_is_new", *[f"_e_{c}" for c in spec.entity], *[f"_c_{c}" for c in self.payload])
-
-    @cached_property
-    def _row_ids(self) -> DataFrame:
-        """The source rows behind each block: those that cover a piece (the last alone in modes where it answers), or for
-        pieces of the target alone one beside them."""
-        ours = self.marked.select("_g", "_block", "_p", "_n", "_sourced", "_last", "_beside")
-        if not self.spec.last_only:
-            sides = self._active.select(F.col("_g").alias("_sg"), "_rid", F.col("_f").alias("_sf"), F.col("_u").alias("_su"))
-            over = (F.col("_g") == F.col("_sg")) & (F.col("_sf") <= F.col("_p")) & (F.col("_su") >= F.col("_n"))
-            ours = ours.join(sides, over, "left").withColumn("_last", F.col("_rid"))
-        return ours.groupBy("_g", "_block").agg(F.array_sort(F.collect_set(F.coalesce("_last", "_beside"))).alias("row_ids"))
+        steady = [c for c in self.payload if c not in spec.ephemeral]
+        first_of = lambda c: F.expr(f"min_by({c}, _p) filter (where {c} is not null)")
+        blocks = self._marked(named).groupBy("_g", "_block").agg(
+            F.min("_p").alias("_f"), F.max("_n").alias("_u"), first_of("_tf").alias("_from"), F.max("_sourced").alias("_sourced"), first_of("_st").alias("s_t_relation"), F.min("_cause").alias("_cause"), first_of("_by").alias("_by"),
+            F.max("_is_new").alias("_is_new"), F.min_by(F.struct(*[F.col(f"_e_{c}") for c in spec.entity], *[F.col(f"_c_{c}") for c in steady]), "_p").alias("_start"), *([F.max_by(F.struct(*[F.col(f"_c_{c}") for c in spec.ephemeral]), "_p").alias("_end")] if spec.ephemeral else []),
+            *([F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("row_ids")] if named else []))
+        values = [F.col("_start")[f"_e_{c}"].alias(f"_e_{c}") for c in spec.entity] + [F.col("_end" if c in spec.ephemeral else "_start")[f"_c_{c}"].alias(f"_c_{c}") for c in self.payload]
+        return blocks.select("_g", "_block", "_f", "_u", "_from", "_sourced", "s_t_relation", "_cause", "_by", "_is_new", *(["row_ids"] if named else []), *values)
 
     def _comparable(self, name: str) -> Column:
         column = name.removeprefix("_c_").removeprefix("_t_")
@@ -364,7 +359,7 @@ class TemporalMerge:
     def target_after(self) -> DataFrame:
         """The new snapshot: the target's columns, entities out of scope as they were."""
         spec = self.spec
-        rows = self._identified(self.resolved)
+        rows = self._identified(self._resolved())
         inserted = F.col("_from").isNull()
         value = lambda c: F.when(inserted & F.col(f"_c_{c}").isNull(), F.lit(spec.defaults[c])).otherwise(F.col(f"_c_{c}")) if c in spec.defaults else F.col(f"_c_{c}")
         parts = {c: value(c) for c in self.payload} | {spec.f: F.col("_f"), spec.u: F.col("_u")} | {c: F.col(f"_e_{c}") for c in spec.entity}
@@ -387,9 +382,8 @@ class TemporalMerge:
         grouping_key. Deletions name the source rows that overlap what they delete. ordered_plan() numbers the rows.
         """
         spec = self.spec
-        self._hold(self.marked), self._hold(self.resolved)
         t = self._scope.withColumnsRenamed({"_g": "_tg"} | {f"_e_{c}": f"_te_{c}" for c in spec.entity})
-        blocks = self._identified(self.resolved.join(self._row_ids, ["_g", "_block"]))
+        blocks = self._hold(self._identified(self._resolved(named=True)))
         both = blocks.join(t, (F.col("_g") == F.col("_tg")) & (F.col("_from") == F.col("_tf")), "full")
         both = both.withColumns({"_g": F.coalesce("_g", "_tg"), "_is_new": F.coalesce("_is_new", F.lit(False)), **{f"_e_{c}": F.coalesce(f"_te_{c}", f"_e_{c}") for c in spec.entity}})
         equal = lambda columns: reduce(lambda a, b: a & b, [self._comparable(f"_c_{c}").eqNullSafe(self._comparable(f"_t_{c}")) for c in columns], F.lit(True))
@@ -464,18 +458,16 @@ class TemporalMerge:
         told = self.feedback.select(F.col("source_row_id").alias("_rid"), F.col("status").alias(status), F.col("error_message").alias(error))
         return self.source.drop(status, error).join(told, F.col(self.spec.row_id).cast("long") == F.col("_rid"), "left").drop("_rid")
 
-    def persist(self) -> TemporalMerge:
-        self._persist = True
-        return self
-
     def release(self) -> None:
+        """Let the steps go that persist="memory" keeps."""
         for df in self._held:
             df.unpersist()
 
-    _persist = False
-
     def _hold(self, df: DataFrame) -> DataFrame:
-        if self._persist:
+        """df, kept as asked for, as several results need it."""
+        if self._persist == "settled":
+            return settled(df)
+        if self._persist == "memory":
             self._held.append(df.persist())
         return df
 
@@ -487,9 +479,11 @@ def _numbered(rows: DataFrame, order: str, tie: str) -> DataFrame:
     return ranked.withColumn("_number", F.col("_number") + 1)
 
 
-def temporal_merge(target: DataFrame, source: DataFrame, persist: bool = True, **spec) -> TemporalMerge:
-    """Merge source into target; the keywords are those of MergeSpec. The shared steps are kept until release() unless
-    persist is false; without it plan and feedback work them out again and again."""
+def temporal_merge(target: DataFrame, source: DataFrame, persist: bool | str = True, **spec) -> TemporalMerge:
+    """Merge source into target; the keywords are those of MergeSpec. persist: "memory" (or True) caches the steps that the
+    results share until release(), "settled" writes them to the shared folder, False works them out again for each result,
+    which is best where only target_after is wanted."""
     spec = {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in spec.items()}
-    merge = TemporalMerge(target, source, MergeSpec(**spec))
-    return merge.persist() if persist else merge
+    if persist not in (True, False, "memory", "settled"):
+        raise ValueError(f"unknown way to persist: {persist}")
+    return TemporalMerge(target, source, MergeSpec(**spec), {True: "memory", False: None}.get(persist, persist))

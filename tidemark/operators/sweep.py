@@ -31,6 +31,21 @@ def latest(f: list, u: list, order: list, points: list) -> list[int]:
     return out
 
 
+def covering(f: list, u: list, ids: list, points: list) -> list[list]:
+    """For each piece between consecutive points the ids of the rows that cover it."""
+    begins: dict = {}
+    ends: dict = {}
+    for a, b, own in zip(f, u, ids, strict=True):
+        begins.setdefault(a, []).append(own)
+        ends.setdefault(b, []).append(own)
+    out, open_ = [], set()
+    for p in points[:-1]:
+        open_.difference_update(ends.get(p, ()))
+        open_.update(begins.get(p, ()))
+        out.append(list(open_))
+    return out
+
+
 def whole_groups(key: str, work: Callable[[pa.Table, list[tuple[int, int]]], pa.RecordBatch | None]):
     """For mapInArrow over rows sorted by key: work(rows, [(start, stop) of each group]) for portions of whole groups."""
 
@@ -93,14 +108,15 @@ def eclipsed():
     return whole_groups("_part", work)
 
 
-def pieces(entity: list[str], payload: list[str], given: list[str], kept_old: list[str]):
+def pieces(entity: list[str], payload: list[str], given: list[str], kept_old: list[str], named: bool = False):
     """From the source and target rows of entities (_g, _target, _rid, _f, _u, _causal, _e_* and _v_*): the pieces between
     their boundaries that some row covers.
 
     _g, _p, _n; _sourced; _tf, _tu and _t_* of the target row that covers the piece; _last (the covering source row of highest
     _rid) with its _lf, _lu and _by (its _causal), and _s_* of it, for kept_old those of the last covering row that has a
     value; _next_to (the lowest _rid among rows that touch the piece), _first_rid and _cause (the least _causal) of the
-    entity; _is_new (no target row) and the identity _e_*, a new entity's from its last row that has one.
+    entity; _is_new (no target row) and the identity _e_*, a new entity's from its last row that has one. named: also _ids, the
+    _rid of all source rows that cover the piece.
     """
 
     def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -109,7 +125,7 @@ def pieces(entity: list[str], payload: list[str], given: list[str], kept_old: li
         held = {c: rows.column(f"_v_{c}").is_valid().to_pylist() for c in kept_old}
         known = {c: rows.column(f"_e_{c}").is_valid().to_pylist() for c in entity}
         n = rows.num_rows
-        p_at, n_at, t_at, s_at, g_at, first_at, cause_at, next_to, first_rid, is_new = ([] for _ in range(10))
+        p_at, n_at, t_at, s_at, g_at, cause_at, next_to, first_rid, is_new, ids = ([] for _ in range(10))
         column_at = {c: [] for c in kept_old}
         entity_at = {c: [] for c in entity}
         for i, j in groups:
@@ -137,7 +153,8 @@ def pieces(entity: list[str], payload: list[str], given: list[str], kept_old: li
                 ends[u[k]] = min(ends.get(u[k], rid[k]), rid[k])
             lowest = min((rid[k] for k in ours), default=None)
             cause = min(ours, key=causal.__getitem__, default=-1)
-            named = {c: theirs[0] if theirs else max((k for k in ours if known[c][k]), key=rid.__getitem__, default=-1) for c in entity}
+            identity = {c: theirs[0] if theirs else max((k for k in ours if known[c][k]), key=rid.__getitem__, default=-1) for c in entity}
+            all_of = covering([f[k] for k in ours], [u[k] for k in ours], [rid[k] for k in ours], points) if named else None
             for x in range(len(points) - 1):
                 if last[x] < 0 and old[x] < 0:
                     continue
@@ -151,10 +168,12 @@ def pieces(entity: list[str], payload: list[str], given: list[str], kept_old: li
                 next_to.append(min(near) if near else None)
                 first_rid.append(lowest)
                 is_new.append(not theirs)
+                if named:
+                    ids.append(all_of[x])
                 for c in kept_old:
                     column_at[c].append(by_column[c][x])
                 for c in entity:
-                    entity_at[c].append(named[c])
+                    entity_at[c].append(identity[c])
         edges = pa.chunked_array([*rows.column("_f").chunks, *rows.column("_u").chunks])
         out = {
             "_g": taken(rows.column("_g"), g_at), "_p": taken(edges, p_at), "_n": taken(edges, n_at), "_sourced": pa.array([x >= 0 for x in s_at], pa.bool_()),
@@ -165,6 +184,8 @@ def pieces(entity: list[str], payload: list[str], given: list[str], kept_old: li
         out |= {f"_e_{c}": taken(rows.column(f"_e_{c}"), entity_at[c]) for c in entity}
         out |= {f"_s_{c}": taken(rows.column(f"_v_{c}"), column_at.get(c, s_at)) for c in given}
         out |= {f"_t_{c}": taken(rows.column(f"_v_{c}"), t_at) for c in payload}
+        if named:
+            out["_ids"] = pa.array(ids, pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return whole_groups("_g", work)

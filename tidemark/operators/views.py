@@ -30,7 +30,7 @@ def update_portion(df: DataFrame, identity: list[str], changes: dict[str, Any],
     rows = rows.withColumns({c: _value(v, types[c]) for c, v in changes.items()})
     others = [c for c in df.columns if c not in (f, u)]
     numbered = rows.select(F.xxhash64(*identity, "_low").alias("row_id"), *others, F.col("_low").alias(f), F.col("_high").alias(u))
-    return temporal_merge(df, numbered, identity=identity, mode="UPDATE_FOR_PORTION_OF", ephemeral=ephemeral, f=f, u=u)
+    return temporal_merge(df, numbered, identity=identity, mode="UPDATE_FOR_PORTION_OF", ephemeral=ephemeral, f=f, u=u, persist=False)
 
 
 def current_rows(df: DataFrame, now: Any = None, f: str = "valid_from", u: str = "valid_until") -> DataFrame:

@@ -242,8 +242,8 @@ def merge_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("note"), start.alias("valid_from"), F.date_add(start, 45).alias("valid_until"))
 
 
-def merge(spark: SparkSession, sf_dir: str, mode: str, delete_mode: str = "NONE") -> TemporalMerge:
-    return temporal_merge(merge_target(spark, sf_dir), merge_source(spark, sf_dir), identity=["id"], mode=mode, delete_mode=delete_mode, ephemeral=["note"], persist=True)
+def merge(spark: SparkSession, sf_dir: str, mode: str, delete_mode: str = "NONE", persist: bool | str = False) -> TemporalMerge:
+    return temporal_merge(merge_target(spark, sf_dir), merge_source(spark, sf_dir), identity=["id"], mode=mode, delete_mode=delete_mode, ephemeral=["note"], persist=persist)
 
 
 def merge_sql(mode: str, delete_mode: str = "NONE") -> str:
@@ -297,14 +297,14 @@ for _name, _mode, _delete in (
     SELECT id, operation, CASE WHEN operation <> 'UPDATE' THEN NULL WHEN nf = of AND nu = ou THEN 'NONE' WHEN nf >= of AND nu <= ou THEN 'SHRINK' WHEN nf <= of AND nu >= ou THEN 'GROW' ELSE 'MOVE' END AS update_effect,
         of AS old_valid_from, ou AS old_valid_until, nf AS new_valid_from, nu AS new_valid_until FROM ops WHERE operation <> 'SKIP_IDENTICAL' OR k > 0""", ("old_valid_from", "old_valid_until", "new_valid_from", "new_valid_until"))
 def merge_plan_ops(spark, sf_dir):
-    plan = merge(spark, sf_dir, "MERGE_ENTITY_UPSERT").plan
+    plan = merge(spark, sf_dir, "MERGE_ENTITY_UPSERT", persist="settled").plan
     return plan.select("id", "operation", "update_effect", "old_valid_from", "old_valid_until", "new_valid_from", "new_valid_until")
 
 
 @query("merge_feedback", merge_sql("INSERT_NEW_ENTITIES") + """ SELECT row_id AS source_row_id, CASE WHEN id IN (SELECT id FROM tgt) THEN 'SKIPPED_FILTERED'
     WHEN row_id IN (SELECT latest FROM srs WHERE k > 0) THEN 'APPLIED' ELSE 'ERROR' END AS status FROM src""")
 def merge_feedback(spark, sf_dir):
-    return merge(spark, sf_dir, "INSERT_NEW_ENTITIES").feedback.select("source_row_id", "status")
+    return merge(spark, sf_dir, "INSERT_NEW_ENTITIES", persist="settled").feedback.select("source_row_id", "status")
 
 
 def keyed_merge(spark: SparkSession, sf_dir: str) -> TemporalMerge:
@@ -314,7 +314,7 @@ def keyed_merge(spark: SparkSession, sf_dir: str) -> TemporalMerge:
     events = _read(spark, sf_dir, "events").select(
         F.col("event_id").alias("row_id"), F.lit(None).cast("long").alias("id"), F.format_string("Customer#%09d", "user_id").alias("name"), F.lit(None).cast("string").alias("code"),
         F.col("event_type").alias("status"), F.to_date("ts").alias("valid_from"), F.date_add(F.to_date("ts"), 2).alias("valid_until"))
-    return temporal_merge(customers, events, identity=["id"], natural_keys=[["name"]], mode="MERGE_ENTITY_UPSERT", persist=True)
+    return temporal_merge(customers, events, identity=["id"], natural_keys=[["name"]], mode="MERGE_ENTITY_UPSERT", persist="settled")
 
 
 COVERED = """WITH ev AS (SELECT event_id AS row_id, user_id AS id, event_type AS status, CAST(ts AS DATE) AS f, CAST(ts AS DATE) + 2 AS u FROM events),
@@ -336,7 +336,7 @@ def ambiguous_rows(spark, sf_dir):
     dates = {"valid_from": F.lit("2024-01-01").cast("date"), "valid_until": F.lit("2025-01-01").cast("date")}
     suppliers = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("number"), F.col("s_name").alias("name")).withColumns(dates)
     parts = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.lit(None).cast("long").alias("id"), F.col("p_size").alias("nation"), F.col("p_partkey").alias("number"), F.col("p_name").alias("name")).withColumns(dates)
-    found = temporal_merge(suppliers, parts, identity=["id"], natural_keys=[["nation"], ["number"]], persist=True)
+    found = temporal_merge(suppliers, parts, identity=["id"], natural_keys=[["nation"], ["number"]], persist=False)
     return found.judged.where("_error like 'Source row is ambiguous%'").select(F.col("_rid").alias("row_id"))
 
 

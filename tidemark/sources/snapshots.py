@@ -39,14 +39,22 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> list[int]:
+    def _markers(self) -> DataFrame | None:
         try:
-            rows = self.spark.read.schema("version long").json(f"{self.path}/_current/*").collect()
+            return self.spark.read.schema("version long, writer string, batch long").json(f"{self.path}/_current/*")
         except Exception as missing:
             if "PATH_NOT_FOUND" in str(missing):
-                return []
+                return None
             raise
-        return sorted(r["version"] for r in rows)
+
+    def _versions(self) -> list[int]:
+        markers = self._markers()
+        return [] if markers is None else sorted(r["version"] for r in markers.collect())
+
+    def last_batch(self, writer: str) -> int | None:
+        """The last batch that the table holds of a writer; None if there is none."""
+        markers = self._markers()
+        return None if markers is None else markers.where(F.col("writer") == writer).agg(F.max("batch")).first()[0]
 
     def exists(self) -> bool:
         return bool(self._versions())
@@ -57,11 +65,12 @@ class SnapshotTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/snapshot-{self.version() if version is None else version}")
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        """Write a new snapshot, then make it the current one. df may read older snapshots. Returns its number."""
+    def write(self, df: DataFrame, partition_by: list[str] | None = None, writer: str | None = None, batch: int | None = None) -> int:
+        """Write a new snapshot, then make it the current one, in the name of a writer's batch if that is given. df may read
+        older snapshots. Returns its number. A snapshot that was begun but never made the current one is written over."""
         number = (self._versions() or [0])[-1] + 1
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(f"{self.path}/snapshot-{number}")
-        marker = self.spark.range(1).select(F.lit(number).cast("long").alias("version"))
+        files = (df.write.partitionBy(*partition_by) if partition_by else df.write).mode("overwrite")
+        files.parquet(f"{self.path}/snapshot-{number}")
+        marker = self.spark.range(1).select(F.lit(number).cast("long").alias("version"), F.lit(writer).alias("writer"), F.lit(batch).cast("long").alias("batch"))
         marker.coalesce(1).write.json(f"{self.path}/_current/{number}")
         return number
