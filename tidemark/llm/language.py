@@ -56,8 +56,7 @@ def bundled(texts: list[np.ndarray], owner: np.ndarray, owners: int) -> np.ndarr
     if not keys:
         return np.zeros((owners, DIMENSIONS))
     distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-    by_trigram = np.argsort(which, kind="stable")
-    which, own = which[by_trigram], np.concatenate(rows)[by_trigram]
+    counts = np.bincount(np.concatenate(rows) * len(distinct) + which, minlength=owners * len(distinct)).reshape(owners, len(distinct))
     places = np.stack([distinct >> 42, distinct >> 21 & 0x1FFFFF, distinct & 0x1FFFFF])
     codes, at = np.unique(places, return_inverse=True)
     at = at.reshape(places.shape)
@@ -66,20 +65,21 @@ def bundled(texts: list[np.ndarray], owner: np.ndarray, owners: int) -> np.ndarr
     for i in range(0, len(distinct), 16384):
         part = slice(i, i + 16384)
         bound = np.roll(vectors, 2, axis=1)[at[0, part]] * np.roll(vectors, 1, axis=1)[at[1, part]] * vectors[at[2, part]]
-        width, (start, stop) = len(bound), np.searchsorted(which, (i, i + 16384))
-        counts = np.bincount(own[start:stop] * width + which[start:stop] - i, minlength=owners * width).reshape(owners, width)
-        out += counts.astype(np.float32) @ bound.astype(np.float32)
+        out += counts[:, part].astype(np.float32) @ bound.astype(np.float32)
     return out
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(number of the first, results of letters_only) of texts that come to GROUP_CHARS together; a longer text is alone, so
+    that its many trigrams aren't counted for others."""
     group, start, size = [], 0, 0
     for i, text in enumerate(texts):
-        group.append(letters_only(text))
-        size += len(group[-1])
-        if size >= GROUP_CHARS or len(group) >= GROUP_TEXTS:
+        codes = letters_only(text)
+        if group and (size + len(codes) > GROUP_CHARS or len(group) >= GROUP_TEXTS):
             yield start, group
-            group, start, size = [], i + 1, 0
+            group, start, size = [], i, 0
+        group.append(codes)
+        size += len(codes)
     if group:
         yield start, group
 
