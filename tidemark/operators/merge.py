@@ -400,9 +400,14 @@ class TemporalMerge:
         f, u, tf, tu = (F.col(c) for c in ("_f", "_u", "_tf", "_tu"))
         effect = F.when(F.col("operation") == "UPDATE", F.when((f == tf) & (u == tu), "NONE").when((f >= tf) & (u <= tu), "SHRINK").when((f <= tf) & (u >= tu), "GROW").otherwise("MOVE"))
         over = self._active.select(F.col("_g").alias("_og"), F.col("_f").alias("_of"), F.col("_u").alias("_ou"), F.col("_rid").alias("_orid"))
-        gone = both.where("operation = 'DELETE'").select("_g", "_tf", "_tu").join(over, (F.col("_g") == F.col("_og")) & (F.col("_of") < F.col("_tu")) & (F.col("_ou") > F.col("_tf")))
+        # a row that only takes away covers nothing that is left, so what changes names the rows that overlap what was there
+        taking = spec.mode == "DELETE_FOR_PORTION_OF"
+        changed = both.where("_tf is not null" if taking else "operation = 'DELETE'").select("_g", "_tf", "_tu").distinct()
+        gone = changed.join(over, (F.col("_g") == F.col("_og")) & (F.col("_of") < F.col("_tu")) & (F.col("_ou") > F.col("_tf")))
         gone = gone.groupBy("_g", "_tf").agg(F.array_sort(F.collect_set("_orid")).alias("_gone"))
-        both = both.join(gone, ["_g", "_tf"], "left").withColumn("row_ids", F.coalesce("row_ids", "_gone", F.array().cast("array<long>")))
+        none = F.array().cast("array<long>")
+        named = F.coalesce("_gone", none) if taking else F.coalesce("row_ids", "_gone", none)
+        both = both.join(gone, ["_g", "_tf"], "left").withColumn("row_ids", named)
         done = both.withColumn("update_effect", effect)
         keep = lambda c: F.when(F.col("operation") == "DELETE", F.col(f"_t_{c}")).otherwise(F.col(f"_c_{c}"))
         done = done.select(

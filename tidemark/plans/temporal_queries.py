@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import period as P
@@ -88,10 +88,20 @@ ALLEN_SQL = """CASE WHEN a.valid_until < b.valid_from THEN 'precedes' WHEN a.val
     WHEN a.valid_until > b.valid_until THEN 'contains' ELSE 'finished_by' END"""
 
 
-@query("allen_relation_matrix", f"""SELECT relation, count(*) AS pairs FROM (SELECT {ALLEN_SQL} AS relation FROM ({PERIODS}) a JOIN ({PERIODS}) b
+# one to three months of thirty days from the order's thirty days on, so that all thirteen relations occur
+MONTHS = """SELECT o_orderkey, o_custkey, 30 * (datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) // 30) AS valid_from,
+    30 * (datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) // 30 + 1 + o_orderkey % 3) AS valid_until FROM orders"""
+
+
+def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slot = F.floor(F.unix_date(F.to_date("o_orderdate")) / 30)
+    return _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (30 * slot).alias("valid_from"), (30 * (slot + 1 + F.col("o_orderkey") % 3)).alias("valid_until"))
+
+
+@query("allen_relation_matrix", f"""SELECT relation, count(*) AS pairs FROM (SELECT {ALLEN_SQL} AS relation FROM ({MONTHS}) a JOIN ({MONTHS}) b
     ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey) GROUP BY relation""")
 def allen_relation_matrix(spark, sf_dir):
-    pairs = intervals.allen_pairs(order_periods(spark, sf_dir), ["o_custkey"], "o_orderkey")
+    pairs = intervals.allen_pairs(order_months(spark, sf_dir), ["o_custkey"], "o_orderkey")
     return pairs.groupBy("relation").agg(F.count("*").alias("pairs"))
 
 
@@ -136,12 +146,43 @@ query("gaps", f"""SELECT o_custkey, valid_until AS valid_from, following AS vali
     lambda spark, sf_dir: coverage.gaps(order_periods(spark, sf_dir), ["o_custkey"]))
 
 
-@query("covers_without_gaps", f"""SELECT o_custkey, bool_or(first_start <= tf) AND bool_or(valid_until >= tu) AND NOT bool_or(coalesce(valid_from > reached AND reached < tu, false)) AS covered FROM (
-    SELECT *, o_orderkey, TIMESTAMP '1998-01-01' AS tf, TIMESTAMP '1998-06-01' AS tu, min(valid_from) OVER (PARTITION BY o_custkey) AS first_start,
-    max(valid_until) OVER (PARTITION BY o_custkey ORDER BY valid_from, valid_until, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM ({PERIODS})) GROUP BY o_custkey""")
+# a target for each customer: from the first order on, ninety days or more; none for some, and one from the day before for others
+COVER_TARGET = """SELECT *, CASE WHEN o_custkey % 10 <> 7 THEN min(valid_from) OVER w - INTERVAL 1 DAY * CAST(o_custkey % 10 = 3 AS INT) END AS tf,
+    CASE WHEN o_custkey % 10 <> 7 THEN min(valid_from) OVER w + INTERVAL 90 DAY + INTERVAL 1 DAY * (40 * (o_custkey % 4)) END AS tu FROM ({periods}) WINDOW w AS (PARTITION BY o_custkey)"""
+
+
+def cover_targets(rows: DataFrame) -> DataFrame:
+    first = F.min("valid_from").over(Window.partitionBy("o_custkey"))
+    known = F.col("o_custkey") % 10 != 7
+    days = lambda n: F.make_dt_interval(n)
+    early = days((F.col("o_custkey") % 10 == 3).cast("int"))
+    return rows.withColumns({"tf": F.when(known, first - early), "tu": F.when(known, first + days((90 + 40 * (F.col("o_custkey") % 4)).cast("int")))})
+
+
+@query("covers_without_gaps", f"""SELECT o_custkey, CASE WHEN bool_or(tf IS NULL) THEN NULL ELSE bool_or(first_start <= tf) AND bool_or(valid_until >= tu) AND NOT bool_or(coalesce(valid_from > reached AND reached < tu, false)) END AS covered FROM (
+    SELECT *, min(valid_from) OVER (PARTITION BY o_custkey) AS first_start,
+    max(valid_until) OVER (PARTITION BY o_custkey ORDER BY valid_from, valid_until, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM ({COVER_TARGET.format(periods=PERIODS)})) GROUP BY o_custkey""")
 def covers_without_gaps(spark, sf_dir):
-    rows = order_periods(spark, sf_dir).withColumns({"tf": _time("1998-01-01"), "tu": _time("1998-06-01")})
-    return coverage.covers_without_gaps(rows, ["o_custkey"], "tf", "tu")
+    return coverage.covers_without_gaps(cover_targets(order_periods(spark, sf_dir)), ["o_custkey"], "tf", "tu")
+
+
+# every other order leaves both its bounds out: where it meets another such one, a moment is not covered
+@query("covers_with_bounds", f"""WITH t AS (SELECT *, o_orderkey % 2 AS open FROM ({COVER_TARGET.format(periods=MONTHS.replace("valid_from", "f0").replace("valid_until", "u0").join(["SELECT o_orderkey, o_custkey, TIMESTAMP '1970-01-01' + INTERVAL 1 DAY * f0 AS valid_from, TIMESTAMP '1970-01-01' + INTERVAL 1 DAY * u0 AS valid_until FROM (", ")"]))}))
+    SELECT o_custkey, CASE WHEN bool_or(tf IS NULL) THEN NULL
+        ELSE bool_or(valid_from < tf OR valid_from = tf AND open = 0) AND bool_or(valid_until >= tu) AND NOT bool_or(coalesce((valid_from > ru OR valid_from = ru AND open = 1 AND rc = 0) AND ru < tu, false)) END AS covered
+    FROM (SELECT *, reached.u AS ru, reached.c AS rc FROM (SELECT *, max({{'u': valid_until, 'c': 0}}) OVER (PARTITION BY o_custkey ORDER BY valid_from, open, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM t)) GROUP BY o_custkey""")
+def covers_with_bounds(spark, sf_dir):
+    start = F.lit("1970-01-01").cast("timestamp_ntz")
+    rows = order_months(spark, sf_dir).withColumns({c: start + F.make_dt_interval(F.col(c).cast("int")) for c in VALID})
+    rows = cover_targets(rows).withColumn("bounds", F.when(F.col("o_orderkey") % 2 == 1, "()").otherwise("[)"))
+    return coverage.covers_without_gaps(rows, ["o_custkey"], "tf", "tu", bounds="bounds")
+
+
+@query("canonical_bounds", """SELECT o_orderkey, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 >= 2 AS INT) AS valid_from, CAST(o_orderdate AS DATE) + 30 + CAST(o_orderkey % 2 = 1 AS INT) AS valid_until FROM orders""", VALID)
+def canonical_bounds(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("f"), F.date_add(F.to_date("o_orderdate"), 30).alias("u"), F.element_at(F.array(*map(F.lit, ("[)", "[]", "()", "(]"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("bounds"))
+    f, u = P.canonical(F.col("f"), F.col("u"), F.col("bounds"), rows.schema["f"].dataType)
+    return rows.select("o_orderkey", f.alias("valid_from"), u.alias("valid_until"))
 
 
 @query("first_non_null", "SELECT user_id, arg_min(event_type, ts) FILTER (WHERE event_type <> 'view') AS first_type FROM events GROUP BY user_id")
@@ -182,6 +223,16 @@ def xor_key_violations(spark, sf_dir):
     return _counted(keys.unique_key_violations(rows, ["open_cust", "other_cust"], "exclusive"), ["open_cust", "other_cust"])
 
 
+KEYED = f"SELECT * REPLACE (CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END AS o_custkey) FROM ({PERIODS})"
+
+
+@query("primary_key_violations", f"""SELECT o_custkey, valid_from, 'overlap' AS violation, violations FROM ({_counted_sql(f"SELECT * FROM ({KEYED}) WHERE o_custkey IS NOT NULL", "o_custkey")})
+    UNION ALL SELECT o_custkey, valid_from, 'null', count(*) FROM ({KEYED}) WHERE o_custkey IS NULL GROUP BY ALL""", ("valid_from",))
+def primary_key_violations(spark, sf_dir):
+    rows = order_periods(spark, sf_dir).withColumn("o_custkey", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_custkey")))
+    return keys.unique_key_violations(rows, ["o_custkey"], "primary").groupBy("o_custkey", "valid_from", "violation").agg(F.count("*").alias("violations"))
+
+
 @query("pk_consistency_violations", "SELECT l_partkey, l_suppkey, count(DISTINCT l_orderkey) AS owners FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_orderkey) > 1")
 def pk_consistency_violations(spark, sf_dir):
     return keys.pk_consistency_violations(_read(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], ["l_orderkey"])
@@ -207,6 +258,14 @@ def regular_fk_violations(spark, sf_dir):
     return keys.regular_fk_violations(_read(spark, sf_dir, "lineitem"), parent, ["l_orderkey"], ["o_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+@query("full_match_violations", """SELECT l_orderkey, l_linenumber, part, supplier FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 > 0 THEN l_partkey END AS part, CASE WHEN l_linenumber % 4 > 0 THEN l_suppkey END AS supplier FROM lineitem)
+    WHERE (part IS NULL) <> (supplier IS NULL) OR part IS NOT NULL AND supplier IS NOT NULL AND (part, supplier) NOT IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_linenumber < 3)""")
+def full_match_violations(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem")
+    child = lines.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 > 0, F.col("l_partkey")).alias("part"), F.when(F.col("l_linenumber") % 4 > 0, F.col("l_suppkey")).alias("supplier"))
+    return keys.regular_fk_violations(child, lines.where("l_linenumber < 3"), ["part", "supplier"], ["l_partkey", "l_suppkey"], match="full")
+
+
 # the parent loses its open orders; children that were covered by them alone are left over
 AFTER_BLOCKS = BLOCKS.replace(PERIODS, f"SELECT * FROM ({PERIODS}) WHERE o_orderstatus <> 'O'")
 
@@ -217,6 +276,16 @@ def parent_delete_violations(spark, sf_dir):
     return keys.parent_delete_violations(shipments(spark, sf_dir), parent, parent.where("o_orderstatus = 'O'"), ["o_custkey"])
 
 
+MOVED_BLOCKS = BLOCKS.replace(PERIODS, f"SELECT * REPLACE (CASE WHEN o_orderstatus = 'O' THEN valid_from + INTERVAL 60 DAY ELSE valid_from END AS valid_from) FROM ({PERIODS})")
+
+
+@query("parent_update_violations", f"""SELECT c.* FROM ({SHIPMENTS}) c WHERE NOT EXISTS (SELECT 1 FROM ({MOVED_BLOCKS}) p WHERE p.o_custkey = c.o_custkey AND p.valid_from <= c.valid_from AND p.valid_until >= c.valid_until)""", VALID)
+def parent_update_violations(spark, sf_dir):
+    parent = order_periods(spark, sf_dir)
+    old = parent.where("o_orderstatus = 'O'")
+    return keys.parent_update_violations(shipments(spark, sf_dir), parent, old, old.withColumn("valid_from", F.col("valid_from") + F.expr("interval 60 days")), ["o_custkey"])
+
+
 # -- merges ---------------------------------------------------------------------------------------------------------
 # The target is each customer's history of order states; the source are the events of users, taken as corrections to the
 # customers of the same number, or to new ones for errors, on forty-five days somewhere in the past.
@@ -246,7 +315,7 @@ def merge(spark: SparkSession, sf_dir: str, mode: str, delete_mode: str = "NONE"
     return temporal_merge(merge_target(spark, sf_dir), merge_source(spark, sf_dir), identity=["id"], mode=mode, delete_mode=delete_mode, ephemeral=["note"], persist=persist)
 
 
-def merge_sql(mode: str, delete_mode: str = "NONE") -> str:
+def merge_sql(mode: str, delete_mode: str = "NONE", source: str = SOURCE) -> str:
     """WITH clauses that end in `blocks`: the coalesced pieces of the merge, piece by piece as the contract words it."""
     portion, patch = mode.endswith("PORTION_OF"), "PATCH" in mode
     taking = "WHERE id IN (SELECT id FROM tgt)" if portion else "WHERE id NOT IN (SELECT id FROM tgt)" if mode == "INSERT_NEW_ENTITIES" else ""
@@ -260,7 +329,7 @@ def merge_sql(mode: str, delete_mode: str = "NONE") -> str:
         keep += " AND id IN (SELECT id FROM act)"
     new = lambda c: f"first(s.{c} ORDER BY s.row_id DESC)" + (f" FILTER (WHERE s.{c} IS NOT NULL)" if patch and c != "note" else " FILTER (WHERE s.row_id IS NOT NULL)")
     pick = lambda c: f"CASE WHEN k = 0 THEN t_{c} ELSE {f'coalesce(s_{c}, t_{c})' if patch else f's_{c}'} END AS {c}"
-    return f"""WITH tgt AS ({TARGET}), src AS ({SOURCE}), act AS (SELECT * FROM src {taking}), sco AS (SELECT * FROM tgt WHERE {scope}),
+    return f"""WITH tgt AS ({TARGET}), src AS ({source}), act AS (SELECT * FROM src {taking}), sco AS (SELECT * FROM tgt WHERE {scope}),
     pts AS (SELECT DISTINCT id, unnest([valid_from, valid_until]) AS p FROM (SELECT id, valid_from, valid_until FROM act UNION ALL SELECT id, valid_from, valid_until FROM sco)),
     seg AS (SELECT * FROM (SELECT id, p, lead(p) OVER (PARTITION BY id ORDER BY p) AS n FROM pts) WHERE n IS NOT NULL),
     tgs AS (SELECT g.id, g.p, g.n, t.valid_from AS tf, t.valid_until AS tu, t.status AS t_status, t.priority AS t_priority, t.note AS t_note
@@ -289,13 +358,17 @@ for _name, _mode, _delete in (
     query(_name, _after_sql(_mode, _delete), VALID)(lambda spark, sf_dir, m=_mode, d=_delete: merge(spark, sf_dir, m, d).target_after)
 
 
-@query("merge_plan_ops", merge_sql("MERGE_ENTITY_UPSERT") + """, dif AS (SELECT coalesce(b.id, t.id) AS id, b.valid_from AS nf, b.valid_until AS nu, t.valid_from AS of, t.valid_until AS ou, b.k,
+OPS = """, dif AS (SELECT coalesce(b.id, t.id) AS id, b.valid_from AS nf, b.valid_until AS nu, t.valid_from AS of, t.valid_until AS ou, b.k,
         b.status IS NOT DISTINCT FROM t.status AND b.priority IS NOT DISTINCT FROM t.priority AS same, b.note IS NOT DISTINCT FROM t.note AS same_note
         FROM blocks b FULL JOIN sco t ON b.id = t.id AND b.origin = t.valid_from),
     ran AS (SELECT *, row_number() OVER (PARTITION BY id, of ORDER BY CASE WHEN nf = of THEN 0 ELSE 1 END, CASE WHEN same THEN 0 ELSE 1 END, nf, nu) AS rank FROM dif),
-    ops AS (SELECT *, CASE WHEN nf IS NULL THEN 'DELETE' WHEN of IS NULL OR rank > 1 THEN 'INSERT' WHEN nf = of AND nu = ou AND same AND same_note THEN 'SKIP_IDENTICAL' ELSE 'UPDATE' END AS operation FROM ran)
-    SELECT id, operation, CASE WHEN operation <> 'UPDATE' THEN NULL WHEN nf = of AND nu = ou THEN 'NONE' WHEN nf >= of AND nu <= ou THEN 'SHRINK' WHEN nf <= of AND nu >= ou THEN 'GROW' ELSE 'MOVE' END AS update_effect,
-        of AS old_valid_from, ou AS old_valid_until, nf AS new_valid_from, nu AS new_valid_until FROM ops WHERE operation <> 'SKIP_IDENTICAL' OR k > 0""", ("old_valid_from", "old_valid_until", "new_valid_from", "new_valid_until"))
+    ops AS (SELECT *, CASE WHEN nf IS NULL THEN 'DELETE' WHEN of IS NULL OR rank > 1 THEN 'INSERT' WHEN nf = of AND nu = ou AND same AND same_note THEN 'SKIP_IDENTICAL' ELSE 'UPDATE' END AS operation FROM ran)"""
+OPERATIONS = """SELECT id, operation, CASE WHEN operation <> 'UPDATE' THEN NULL WHEN nf = of AND nu = ou THEN 'NONE' WHEN nf >= of AND nu <= ou THEN 'SHRINK' WHEN nf <= of AND nu >= ou THEN 'GROW' ELSE 'MOVE' END AS update_effect,
+        of AS old_valid_from, ou AS old_valid_until, nf AS new_valid_from, nu AS new_valid_until FROM ops WHERE operation <> 'SKIP_IDENTICAL' OR k > 0"""
+PLAN_TIMES = ("old_valid_from", "old_valid_until", "new_valid_from", "new_valid_until")
+
+
+@query("merge_plan_ops", f"{merge_sql('MERGE_ENTITY_UPSERT')} {OPS} {OPERATIONS}", PLAN_TIMES)
 def merge_plan_ops(spark, sf_dir):
     plan = merge(spark, sf_dir, "MERGE_ENTITY_UPSERT", persist="settled").plan
     return plan.select("id", "operation", "update_effect", "old_valid_from", "old_valid_until", "new_valid_from", "new_valid_until")
@@ -307,6 +380,105 @@ def merge_feedback(spark, sf_dir):
     return merge(spark, sf_dir, "INSERT_NEW_ENTITIES", persist="settled").feedback.select("source_row_id", "status")
 
 
+# the target's own rows come again: as they are, with another note, with another status, or ten days later
+AGAIN = f"""SELECT CAST(note AS BIGINT) AS row_id, id, CASE WHEN CAST(note AS BIGINT) % 4 = 2 THEN 'Z' ELSE status END AS status, priority, CASE WHEN CAST(note AS BIGINT) % 4 = 1 THEN note || 'x' ELSE note END AS note,
+    CASE WHEN CAST(note AS BIGINT) % 4 = 3 THEN valid_from + 10 ELSE valid_from END AS valid_from, CASE WHEN CAST(note AS BIGINT) % 4 = 3 AND valid_until < DATE '9999-12-31' THEN valid_until + 10 ELSE valid_until END AS valid_until FROM ({TARGET})"""
+
+
+def merge_again(spark: SparkSession, sf_dir: str) -> TemporalMerge:
+    target = merge_target(spark, sf_dir)
+    key = F.col("note").cast("long")
+    turn = lambda k: key % 4 == k
+    source = target.select(
+        key.alias("row_id"), "id", F.when(turn(2), "Z").otherwise(F.col("status")).alias("status"), "priority", F.when(turn(1), F.concat("note", F.lit("x"))).otherwise(F.col("note")).alias("note"),
+        F.when(turn(3), F.date_add("valid_from", 10)).otherwise(F.col("valid_from")).alias("valid_from"), F.when(turn(3) & (F.col("valid_until") < F.lit("9999-12-31").cast("date")), F.date_add("valid_until", 10)).otherwise(F.col("valid_until")).alias("valid_until"))
+    return temporal_merge(target, source, identity=["id"], mode="MERGE_ENTITY_UPSERT", ephemeral=["note"], persist="settled")
+
+
+@query("merge_plan_effects", f"{merge_sql('MERGE_ENTITY_UPSERT', source=AGAIN)} {OPS} {OPERATIONS}", PLAN_TIMES)
+def merge_plan_effects(spark, sf_dir):
+    return merge_again(spark, sf_dir).plan.select("id", "operation", "update_effect", *PLAN_TIMES)
+
+
+# the source rows behind each block: those that cover a piece of it, or for a piece of the target alone one that touches it
+BEHIND = """, near AS (SELECT g.id, g.p, min(s.row_id) AS beside FROM seg g JOIN act s ON s.id = g.id AND (s.valid_from = g.n OR s.valid_until = g.p) GROUP BY g.id, g.p),
+    firsts AS (SELECT id, min(row_id) AS first FROM act GROUP BY id),
+    behind AS (SELECT b.id, b.block, s.row_id FROM blk b JOIN act s ON s.id = b.id AND s.valid_from <= b.p AND s.valid_until >= b.n WHERE b.k > 0
+        UNION SELECT b.id, b.block, coalesce(n.beside, f.first) FROM blk b LEFT JOIN near n ON n.id = b.id AND n.p = b.p LEFT JOIN firsts f ON f.id = b.id WHERE b.k = 0),
+    starts AS (SELECT id, block, min(p) AS nf FROM blk GROUP BY id, block),
+    named AS (SELECT o.id, o.operation, o.nf, o.of, r.row_id FROM ops o JOIN starts USING (id, nf) JOIN behind r ON r.id = o.id AND r.block = starts.block WHERE o.operation <> 'SKIP_IDENTICAL' OR o.k > 0
+        UNION ALL SELECT o.id, o.operation, o.nf, o.of, s.row_id FROM ops o JOIN act s ON s.id = o.id AND s.valid_from < o.ou AND s.valid_until > o.of WHERE o.operation = 'DELETE')"""
+
+
+@query("merge_plan_rows", f"{merge_sql('MERGE_ENTITY_UPSERT', source=AGAIN)} {OPS} {BEHIND} SELECT id, operation, nf AS new_valid_from, of AS old_valid_from, row_id FROM named", ("new_valid_from", "old_valid_from"))
+def merge_plan_rows(spark, sf_dir):
+    return merge_again(spark, sf_dir).plan.select("id", "operation", "new_valid_from", "old_valid_from", F.explode("row_ids").alias("row_id"))
+
+
+@query("merge_feedback_effects", f"""{merge_sql('MERGE_ENTITY_UPSERT', source=AGAIN)} {OPS} {BEHIND} SELECT src.row_id, CASE WHEN bool_or(operation <> 'SKIP_IDENTICAL') THEN 'APPLIED' WHEN count(operation) > 0 THEN 'SKIPPED_IDENTICAL' ELSE 'ERROR' END AS merge_status
+    FROM src LEFT JOIN named ON named.row_id = src.row_id GROUP BY src.row_id""")
+def merge_feedback_effects(spark, sf_dir):
+    return merge_again(spark, sf_dir).source_with_feedback().select("row_id", "merge_status")
+
+
+@query("portion_feedback", f"""{merge_sql('DELETE_FOR_PORTION_OF')} SELECT row_id AS source_row_id, CASE WHEN id NOT IN (SELECT id FROM tgt) THEN 'SKIPPED_NO_TARGET'
+    WHEN EXISTS (SELECT 1 FROM tgt t WHERE t.id = src.id AND t.valid_from < src.valid_until AND t.valid_until > src.valid_from) THEN 'APPLIED' ELSE 'ERROR' END AS status FROM src""")
+def portion_feedback(spark, sf_dir):
+    return merge(spark, sf_dir, "DELETE_FOR_PORTION_OF", persist="settled").feedback.select("source_row_id", "status")
+
+
+# the same merge over whole numbers, decimals and instants
+_DAY = "datediff('day', DATE '1970-01-01', {c})"
+for _kind, _spark, _sql in (
+    ("int", lambda c: F.unix_date(c), _DAY), ("decimal", lambda c: F.unix_date(c).cast("decimal(12,2)") / F.lit(2).cast("decimal(3,0)"), f"CAST({_DAY} AS DECIMAL(12,2)) / 2"), ("timestamp", lambda c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss")), "CAST({c} AS TIMESTAMP)"),
+):
+    _shown = {"int": "{x}", "decimal": "CAST({x} AS DOUBLE)", "timestamp": "strftime({x}, '%Y-%m-%d %H:%M:%S')"}[_kind]
+    _ends = ", ".join(f"{_shown.format(x=_sql.format(c=c))} AS {c}" for c in VALID)
+
+    def _typed(spark, sf_dir, kind=_kind, of=_spark):
+        made = lambda df: df.withColumns({c: of(c) for c in VALID})
+        after = temporal_merge(made(merge_target(spark, sf_dir)), made(merge_source(spark, sf_dir)), identity=["id"], mode="MERGE_ENTITY_UPSERT", ephemeral=["note"], persist=False).target_after
+        return after.withColumns({c: {"int": F.col(c), "decimal": F.col(c).cast("double"), "timestamp": F.date_format(c, "yyyy-MM-dd HH:mm:ss")}[kind] for c in VALID})
+
+    query(f"merge_{_kind}_periods", f"SELECT id, status, priority, note, {_ends} FROM ({_after_sql('MERGE_ENTITY_UPSERT')})")(_typed)
+
+
+@query("merge_valid_to", f"SELECT id, status, priority, note, valid_from, valid_until, CASE WHEN valid_until = DATE '9999-12-31' THEN valid_until ELSE valid_until - 1 END AS valid_to FROM ({_after_sql('MERGE_ENTITY_PATCH')})", (*VALID, "valid_to"))
+def merge_valid_to(spark, sf_dir):
+    last = F.when(F.col("valid_until") == F.lit("9999-12-31").cast("date"), F.col("valid_until")).otherwise(F.date_sub("valid_until", 1))
+    target, source = merge_target(spark, sf_dir).withColumn("valid_to", last), merge_source(spark, sf_dir).withColumn("valid_to", F.date_sub("valid_until", 1)).drop("valid_until")
+    return temporal_merge(target, source, identity=["id"], mode="MERGE_ENTITY_PATCH", ephemeral=["note"], to="valid_to", persist=False).target_after
+
+
+# founding ids: the events of a user's kind are one new entity, which gets the next number in the order of its first row
+@query("founding_ids", """WITH f AS (SELECT user_id * 10 + length(event_type) AS founding, min(event_id) AS first FROM events GROUP BY ALL), n AS (SELECT founding, (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY first) AS id FROM f)
+    SELECT event_id AS row_id, id FROM events JOIN n ON founding = user_id * 10 + length(event_type)""")
+def founding_ids(spark, sf_dir):
+    target = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("x").alias("status"), F.lit("2024-01-01").cast("date").alias("valid_from"), F.lit("9999-12-31").cast("date").alias("valid_until"))
+    source = _read(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), (F.col("user_id") * 10 + F.length("event_type")).alias("founding"), F.lit(None).cast("long").alias("id"), F.col("event_type").alias("status"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("event_id").cast("int")).alias("valid_from"), F.date_add(F.lit("2000-01-02").cast("date"), F.col("event_id").cast("int")).alias("valid_until"))
+    return temporal_merge(target, source, identity=["id"], founding_id="founding", generated_identity="id", mode="MERGE_ENTITY_UPSERT", persist=False).source_with_identity.select("row_id", "id")
+
+
+# orders hang together by two keys in turn, ten at a time: each ten is one new entity
+@query("linked_natural_keys", """SELECT o_orderkey AS row_id, 1000 + dense_rank() OVER (ORDER BY o_orderkey // 10) AS id FROM orders""")
+def linked_natural_keys(spark, sf_dir):
+    dates = {"valid_from": F.lit("2024-01-01").cast("date"), "valid_until": F.lit("2025-01-01").cast("date")}
+    target = spark.range(1).select(F.lit(1000).cast("long").alias("id"), F.lit("none").alias("pair"), F.lit("none").alias("next_pair"), F.lit(0).cast("long").alias("value")).withColumns(dates)
+    k = F.col("o_orderkey")
+    source = _read(spark, sf_dir, "orders").select(
+        k.alias("row_id"), F.lit(None).cast("long").alias("id"), F.concat(F.lit("a"), F.floor(k / 2)).alias("pair"), F.when((k % 10 != 0) & (k % 10 != 9), F.concat(F.lit("b"), F.floor((k + 1) / 2))).alias("next_pair"), k.alias("value"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (k % 1000).cast("int")).alias("valid_from"), F.date_add(F.lit("2000-01-02").cast("date"), (k % 1000).cast("int")).alias("valid_until"))
+    return temporal_merge(target, source, identity=["id"], natural_keys=[["pair"], ["next_pair"]], generated_identity="id", mode="MERGE_ENTITY_UPSERT", persist=False).source_with_identity.select("row_id", "id")
+
+
+# nulls never overwrite a required column, and new rows without it get its default
+@query("required_and_defaults", f"""{merge_sql('MERGE_ENTITY_REPLACE')} SELECT id, CASE WHEN origin IS NULL THEN coalesce(status, 'new') ELSE status END AS status, priority, valid_from, valid_until FROM blocks
+    UNION ALL SELECT id, status, priority, valid_from, valid_until FROM tgt WHERE id NOT IN (SELECT id FROM src)""".replace("s_status END AS status", "coalesce(s_status, t_status) END AS status").replace("FILTER (WHERE s.row_id IS NOT NULL) AS s_status", "FILTER (WHERE s.status IS NOT NULL) AS s_status"), VALID)
+def required_and_defaults(spark, sf_dir):
+    held = temporal_merge(merge_target(spark, sf_dir), merge_source(spark, sf_dir), identity=["id"], mode="MERGE_ENTITY_REPLACE", ephemeral=["note"], required=["status"], defaults={"status": "new"}, persist=False)
+    return held.target_after.drop("note")
+
+
 def keyed_merge(spark: SparkSession, sf_dir: str) -> TemporalMerge:
     """Customers found by name and segment or by name and nation, corrected by events under the user's number."""
     customers = _read(spark, sf_dir, "customer").select(
@@ -355,8 +527,20 @@ NOW = f"""SELECT o_orderkey, o_custkey, 'F' AS o_orderstatus, CASE WHEN o_orders
     FROM orders WHERE o_orderstatus <> 'P'"""
 query("history_diff", OLD, SYSTEM)(lambda spark, sf_dir: versioned(spark, sf_dir)[1])
 query("history_with_union", f"{OLD} UNION ALL {NOW}", SYSTEM)(lambda spark, sf_dir: versioning.with_history(*versioned(spark, sf_dir)))
-query("history_as_of", f"SELECT * FROM ({OLD} UNION ALL {NOW}) WHERE system_valid_from <= TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-15' < system_valid_until", SYSTEM)(
-    lambda spark, sf_dir: versioning.state_as_of(versioning.with_history(*versioned(spark, sf_dir)), "2024-01-15 00:00:00"))
+query("history_as_of", f"SELECT * FROM ({OLD} UNION ALL {NOW}) WHERE system_valid_from <= TIMESTAMP '2024-02-15' AND TIMESTAMP '2024-02-15' < system_valid_until", SYSTEM)(
+    lambda spark, sf_dir: versioning.state_as_of(versioning.with_history(*versioned(spark, sf_dir)), "2024-02-15 00:00:00"))
+query("history_between", f"SELECT * FROM ({OLD} UNION ALL {NOW}) WHERE system_valid_from <= TIMESTAMP '2024-02-01' AND system_valid_until > TIMESTAMP '2024-01-15'", SYSTEM)(
+    lambda spark, sf_dir: versioning.states_between(versioning.with_history(*versioned(spark, sf_dir)), "2024-1-15", "2024-02-01 00:00:00"))
+query("history_between_symmetric", f"SELECT * FROM ({OLD} UNION ALL {NOW}) WHERE system_valid_from <= TIMESTAMP '2024-03-01' AND system_valid_until > TIMESTAMP '2024-02-01'", SYSTEM)(
+    lambda spark, sf_dir: versioning.states_between_symmetric(versioning.with_history(*versioned(spark, sf_dir)), "2024-03-01 00:00:00", "2024-02-01 00:00:00"))
+
+
+@query("history_excluded_columns", "SELECT o_orderkey, o_custkey, o_orderstatus, TIMESTAMP '2024-01-01' AS system_valid_from, TIMESTAMP '2024-02-01' AS system_valid_until FROM orders WHERE o_orderkey % 3 = 0", SYSTEM)
+def history_excluded_columns(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    after = orders.withColumns({"o_custkey": F.when(F.col("o_orderkey") % 2 == 0, F.lit(-1)).otherwise(F.col("o_custkey")), "o_orderstatus": F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus"))})
+    return versioning.record_change(versioning.stamp(orders, "2024-01-01 00:00:00"), after, ["o_orderkey"], "2024-02-01 00:00:00", excluded=("o_custkey",))[1]
+
 query("history_from_to", f"SELECT * FROM ({OLD} UNION ALL {NOW}) WHERE system_valid_from < TIMESTAMP '2024-02-01' AND system_valid_until > TIMESTAMP '2024-01-15'", SYSTEM)(
     lambda spark, sf_dir: versioning.states_from_to(versioning.with_history(*versioned(spark, sf_dir)), "2024-01-15 00:00:00", "2024-02-01 00:00:00"))
 
@@ -377,6 +561,17 @@ def soft_delete(spark, sf_dir):
     return views.current_delete(events_states(spark, sf_dir), F.col("event_type") == "click", _time(NOW_AT))
 
 
+@query("soft_delete_with_values", f"SELECT * FROM ({STATES}) WHERE NOT ({OPEN}) UNION ALL SELECT user_id, 'closed', valid_from, TIMESTAMP '{NOW_AT}' FROM ({STATES}) WHERE {OPEN}", VALID)
+def soft_delete_with_values(spark, sf_dir):
+    return views.current_end(events_states(spark, sf_dir), F.col("event_type") == "click", _time(NOW_AT), {"event_type": "closed"})
+
+
+@query("current_insert", f"SELECT * FROM ({TARGET}) UNION ALL SELECT 5000000 + s_suppkey, 'S', s_name, NULL, DATE '2024-03-01', DATE '9999-12-31' FROM supplier", VALID)
+def current_insert(spark, sf_dir):
+    new = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), (F.col("s_suppkey") + 5000000).alias("id"), F.lit("S").alias("status"), F.col("s_name").alias("priority"), F.lit(None).cast("string").alias("note"))
+    return views.current_insert(merge_target(spark, sf_dir), new, ["id"], "2024-03-01", persist=False).target_after
+
+
 _IN = "status = 'O' AND valid_from < DATE '1999-01-01' AND valid_until > DATE '1997-01-01'"
 
 
