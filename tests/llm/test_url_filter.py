@@ -1,13 +1,13 @@
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
 
 from tidemark.llm.common import table
 from tidemark.llm.registry import op8_url_filters
-from tidemark.llm.url_filter import ALPHABET, CLASSES, EDGE, RULES, judge_urls
+from tidemark.llm.url_filter import CHARACTERS, ORDER, RULES, judge_urls
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -22,43 +22,48 @@ def rule_of(host, path):
     return max(fits, key=lambda r: len(r.name)) if fits else None
 
 
-def classes(url):
+def marked(url):
     body = re.sub(r"(?s)\A.*?://", "", (url or "").translate(LOWER), count=1)
-    return [ALPHABET.find("0" if c in "0123456789" else c) + 1 for c in body] + [EDGE]
+    return "\x02" + re.sub("[1-9]", "0", body) + "\x03"
 
 
 def model(urls):
-    three, two, one = Counter(), Counter(), Counter()
-    for u in urls:
-        c = [EDGE, EDGE, *classes(u)]
-        three.update(zip(c, c[1:], c[2:], strict=False))
-    for (_, b, c), n in three.items():
-        two[b, c] += n
-        one[c] += n
-
-    def p(a, b, c):
-        p0 = (one[c] + 1) / (sum(one.values()) + CLASSES)
-        after = {k: n for k, n in two.items() if k[0] == b}
-        p1 = (two[b, c] + len(after) * p0) / (sum(after.values()) + len(after)) if after else p0
-        after = {k: n for k, n in three.items() if k[:2] == (a, b)}
-        return (three[a, b, c] + len(after) * p1) / (sum(after.values()) + len(after)) if after else p1
+    """The probability of a string's last character after the others."""
+    n, follow = Counter(), {}
+    for t in map(marked, urls):
+        for i in range(1, len(t)):
+            for size in range(1, min(ORDER + 1, i + 1) + 1):
+                g = t[i - size + 1 : i + 1]
+                n[g] += 1
+                follow.setdefault(g[:-1], Counter())[g[-1]] += 1
+    total = sum(v for g, v in n.items() if len(g) == 1)
+
+    def p(g):
+        if len(g) == 1:
+            return (n[g] + 1) / (total + CHARACTERS)
+        after = follow.get(g[:-1])
+        return (n[g] + len(after) * p(g[1:])) / (sum(after.values()) + len(after)) if after else p(g[1:])
 
     return p
 
 
+def held_back(url):
+    return hashlib.md5((url or "").encode()).hexdigest() < "33"
+
+
 def test_query_matches_brute_force(spark, sf_dir):
     urls = {r["page_id"]: r["url"] for r in table(spark, sf_dir, "pages").collect()}
     rules = {i: rule_of(*parts(u)) for i, u in urls.items()}
-    fitted = [i for i in urls if rules[i] and zlib.crc32((urls[i] or "").encode()) % 5]
+    fitted = [i for i in urls if rules[i] and not held_back(urls[i])]
     good, bad = (model([urls[i] for i in fitted if rules[i].verdict == v]) for v in ("allow", "block"))
     rows = op8_url_filters(spark, sf_dir).collect()
     assert len(rows) == len(urls)
     for r in rows:
         url, rule = urls[r["page_id"]], rules[r["page_id"]]
         assert (r["host"], r["path"]) == parts(url) and r["rule"] == (rule and rule.name)
-        c = [EDGE, EDGE, *classes(url)]
-        want = sum(math.log(good(*x)) - math.log(bad(*x)) for x in zip(c, c[1:], c[2:], strict=False)) / (len(c) - 2)
-        assert abs(want - r["score"]) < 1e-9
+        t = marked(url)
+        held = [t[max(0, i - ORDER) : i + 1] for i in range(1, len(t))]
+        assert abs(sum(math.log(good(g)) - math.log(bad(g)) for g in held) / len(held) - r["score"]) < 1e-6
         assert r["verdict"] in ("allow", "block") and (not rule or r["verdict"] == rule.verdict)
     free = [(r["score"], r["verdict"]) for r in rows if r["rule"] is None]
     assert max((s for s, v in free if v == "block"), default=-99) < min((s for s, v in free if v == "allow"), default=99)
@@ -68,7 +73,7 @@ def test_held_out_ruled_urls(spark, sf_dir):
     """Without its rules, the method tells the held-back URLs apart."""
     rows = op8_url_filters(spark, sf_dir.replace("sf0.001", "sf0.1")).collect()
     urls = {r["page_id"]: r["url"] for r in table(spark, sf_dir.replace("sf0.001", "sf0.1"), "pages").collect()}
-    held = [r for r in rows if r["rule"] and zlib.crc32(urls[r["page_id"]].encode()) % 5 == 0]
+    held = [r for r in rows if r["rule"] and held_back(urls[r["page_id"]])]
     good, bad = [r["score"] for r in held if r["verdict"] == "allow"], [r["score"] for r in held if r["verdict"] == "block"]
     assert np.mean([a > b for a in good for b in bad]) > 0.9
 

@@ -14,7 +14,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import quality_score, train
 from tidemark.llm.secrets import find_secrets
 from tidemark.llm.simhash import fingerprints, near_duplicates
-from tidemark.llm.url_filter import judge_urls
+from tidemark.llm.url_filter import CHARACTERS, ORDER, RULES, judge_urls
 from tidemark.llm.warc import page_of, read_warc, write_warc
 
 
@@ -97,7 +97,58 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages")).withColumnRenamed("page", "page_id").drop("url")
+    return judge_urls(table(spark, sf_dir, "pages")).withColumnRenamed("page", "page_id").drop("url").withColumn("score", F.round("score", 6))
+
+
+def _op8_sql() -> str:
+    """The rules, both models from the shortest strings on, and the threshold."""
+    by_length = sorted(RULES, key=lambda r: -len(r.name))
+    fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in by_length]
+    rule = " ".join(f"WHEN {f} THEN '{r.name}'" for f, r in zip(fits, by_length, strict=True))
+    said = " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, by_length, strict=True))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    parts = r"'(?s)\A.*?://([^/?#]*)([^?#]*)'"
+    odds = lambda k: f"CASE WHEN m{k} > 0 THEN (n{k} + t{k} * q{k}) / (m{k} + t{k}) ELSE q{k} END AS p{k}"
+    levels = "".join(f""",
+p{n} AS (SELECT string, {odds(1)}, {odds(0)} FROM (SELECT f.*, s.p1 AS q1, s.p0 AS q0 FROM facts f JOIN p{n - 1} s ON s.string = substr(f.string, 2) WHERE length(f.string) = {n}))""" for n in range(2, ORDER + 2))
+    ends = " UNION ALL ".join(f"SELECT string, ln(p1) - ln(p0) AS ratio FROM p{n}" + (" WHERE starts_with(string, chr(2))" if n <= ORDER else "") for n in range(2, ORDER + 2))
+    return f"""
+WITH split AS (
+  SELECT page_id, coalesce(url, '') AS url, translate(coalesce(regexp_extract(url, {parts}, 1), ''), '{upper}', '{lower}') AS host, coalesce(regexp_extract(url, {parts}, 2), '') AS path FROM pages),
+told AS (
+  SELECT *, CASE {rule} END AS rule, CASE {said} END AS said,
+    chr(2) || translate(regexp_replace(translate(url, '{upper}', '{lower}'), '(?s)\\A.*?://', ''), '123456789', '000000000') || chr(3) AS text FROM split),
+urls AS (SELECT DISTINCT url, text FROM told),
+ends AS (SELECT url, text, unnest(range(2, length(text) + 1)) AS i FROM urls),
+asked AS (SELECT DISTINCT substr(text, i - n + 1, n) AS string FROM (SELECT *, unnest(range(1, least({ORDER + 1}, i) + 1)) AS n FROM ends)),
+taught AS (SELECT said, text, unnest(range(2, length(text) + 1)) AS i FROM told WHERE said IS NOT NULL AND md5(url) >= '33'),
+seen AS (
+  SELECT substr(text, i - n + 1, n) AS string, count(*) FILTER (WHERE said = 'allow') AS n1, count(*) FILTER (WHERE said = 'block') AS n0
+  FROM (SELECT *, unnest(range(1, least({ORDER + 1}, i) + 1)) AS n FROM taught) GROUP BY 1),
+stats AS (
+  SELECT substr(string, 1, length(string) - 1) AS before, sum(n1) AS m1, sum(n0) AS m0, count(*) FILTER (WHERE n1 > 0) AS t1, count(*) FILTER (WHERE n0 > 0) AS t0
+  FROM seen WHERE length(string) > 1 GROUP BY 1),
+totals AS (SELECT coalesce(sum(n1), 0) AS a1, coalesce(sum(n0), 0) AS a0 FROM seen WHERE length(string) = 1),
+facts AS (
+  SELECT a.string, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0, coalesce(m1, 0) AS m1, coalesce(m0, 0) AS m0, coalesce(t1, 0) AS t1, coalesce(t0, 0) AS t0, a1, a0
+  FROM asked a LEFT JOIN seen s ON s.string = a.string LEFT JOIN stats x ON x.before = substr(a.string, 1, length(a.string) - 1), totals),
+p1 AS (SELECT string, (n1 + 1) / (a1 + {CHARACTERS}) AS p1, (n0 + 1) / (a0 + {CHARACTERS}) AS p0 FROM facts WHERE length(string) = 1){levels},
+ratios AS ({ends}),
+scores AS (
+  SELECT url, sum(ratio) / count(*) AS score FROM (SELECT url, substr(text, greatest(1, i - {ORDER}), least({ORDER + 1}, i)) AS string FROM ends) JOIN ratios USING (string) GROUP BY url),
+bins AS (
+  SELECT round(score, 2) AS bin, count(*) FILTER (WHERE said = 'allow') AS yes, count(*) FILTER (WHERE said = 'block') AS no
+  FROM told JOIN scores USING (url) WHERE said IS NOT NULL AND md5(url) < '33' GROUP BY 1),
+rates AS (
+  SELECT bin, 1 - coalesce(sum(yes) OVER w, 0) / nullif(sum(yes) OVER (), 0) AS kept, coalesce(sum(no) OVER w, 0) / nullif(sum(no) OVER (), 0) AS cut
+  FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+best AS (SELECT coalesce((SELECT bin - 0.005 FROM rates WHERE kept IS NOT NULL AND cut IS NOT NULL ORDER BY -(kept + cut), abs(bin), bin LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= best.cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+FROM told JOIN scores USING (url), best
+"""
+
+
+OP8_SQL = _op8_sql()
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,4 +187,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
         "op4_warc": OP4_SQL,
+        "op8_url_filters": OP8_SQL,
     }

@@ -1,26 +1,31 @@
 """URL filters: allow and block rules by host and path, and a ratio of character language models for all other URLs.
 
-Two Markov models of variable order (contexts of up to two characters, shorter ones where a context is rare, by
-Witten-Bell smoothing) are counted over the URLs that the rules accept and reject. A URL's score is the difference of its
-log-likelihoods by its length; the threshold is the one that best tells apart the fifth of the ruled URLs that was held
-back. Characters fall into CLASSES, so the models are tables of CLASSES ** 3 cells whatever the number of URLs, and the
-two together come down to one array of differences. DataFrame functions alone.
+Two Markov models of variable order are counted over the URLs that the rules accept and reject: a character follows contexts
+of up to ORDER characters, and where a context is rare the next shorter one takes over (Witten-Bell). The strings of up to
+ORDER + 1 characters and their counts are rows, as many as the URLs hold; probabilities are worked out for each distinct
+string, from the shortest on, and joined to the URLs' positions. A URL's score is the difference of its log-likelihoods by
+its length; the threshold is the one that best tells apart the fifth of the ruled URLs that was held back. DataFrame
+functions alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, session_constant, stored
+from tidemark.llm.common import lower_ascii, stored
 
-#: Class k is the k-th of these; 0 is any other character, and the last class stands for the ends of a URL.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_?=&%#:~+"
-CLASSES = len(ALPHABET) + 2
-EDGE = CLASSES - 1
-HELD_BACK = 5
+#: Characters of the longest contexts.
+ORDER = 5
+#: Stand for the ends of a URL.
+START, END = "\x02", "\x03"
+#: Characters that a URL may hold as far as the models know: what a context of no characters spreads its doubt over.
+CHARACTERS = 256
+#: Strings, and URLs, with more than this share of all rows are at most as many as its inverse; they are joined by broadcast.
+HOT_SHARE = 1e-4
 
 
 @dataclass(frozen=True)
@@ -67,48 +72,66 @@ def ruled(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column
     return F.struct(name.alias("rule"), verdict.alias("verdict"))
 
 
-def cells(url: Column) -> Column:
-    """The cell (two characters before, the character) of each character of a URL after its scheme, and of its end."""
+def held_back(url: Column) -> Column:
+    """A fifth of the URLs, by their MD5."""
+    return F.md5(url.cast("binary")) < "33"
+
+
+def marked(url: Column) -> Column:
+    """The URL after its scheme, lower-cased, with all digits as 0, between START and END."""
     body = F.regexp_replace(lower_ascii(F.coalesce(url, F.lit(""))), r"(?s)\A.*?://", "")
-    letters = F.filter(F.split(F.translate(body, "123456789", "000000000"), ""), lambda c: c != "")
-    classes = F.transform(letters, lambda c: F.position(c, F.lit(ALPHABET)).cast("int"))
-    edge = F.array(F.lit(EDGE))
-    ended, padded = F.concat(classes, edge), F.concat(edge, edge, classes)
-    pairs = F.arrays_zip(ended.alias("c"), F.slice(padded, 1, F.size(ended)).alias("a"), F.slice(F.concat(edge, classes), 1, F.size(ended)).alias("b"))
-    return F.transform(pairs, lambda x: (x["a"] * CLASSES + x["b"]) * CLASSES + x["c"])
-
-
-def log_ratios(urls: DataFrame) -> DataFrame:
-    """One row, one column: for each cell the log probability among accepted URLs less that among rejected ones.
-    urls: url, accepted (boolean)."""
-    spark = urls.sparkSession
-    seen = urls.select("accepted", F.explode(cells(F.col("url"))).alias("cell")).groupBy("cell").agg(
-        F.count_if("accepted").alias("n1"), F.count_if(~F.col("accepted")).alias("n0"))
-    every = spark.range(CLASSES**3).select(F.col("id").cast("int").alias("cell"))
-    c, b, a = F.col("cell") % CLASSES, F.floor(F.col("cell") / CLASSES) % CLASSES, F.floor(F.col("cell") / CLASSES**2)
-    full = every.join(seen, "cell", "left").select("cell", a.cast("int").alias("a"), b.cast("int").alias("b"), c.cast("int").alias("c"), *[F.coalesce(k, F.lit(0)).alias(k) for k in ("n1", "n0")])
-    full = stored(full, "url-cells")
-    pairs = full.groupBy("b", "c").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    single = pairs.groupBy("c").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    total = single.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
-
-    def smoothed(table: DataFrame, context: list[str], k: str, lower: Column) -> Column:
-        own = Window.partitionBy(*context)
-        n, kinds = F.sum(f"n{k}").over(own), F.count_if(F.col(f"n{k}") > 0).over(own)
-        return F.when(n > 0, (F.col(f"n{k}") + kinds * lower) / (n + kinds)).otherwise(lower).alias(f"p{k}")
-
-    p0 = single.crossJoin(F.broadcast(total)).select("c", *[((F.col(f"n{k}") + 1) / (F.col(f"t{k}") + CLASSES)).alias(f"l{k}") for k in "10"])
-    p1 = pairs.join(F.broadcast(p0), "c").select("b", "c", *[smoothed(pairs, ["b"], k, F.col(f"l{k}")) for k in "10"])
-    p1 = p1.withColumnsRenamed({"p1": "l1", "p0": "l0"})
-    p2 = full.join(p1, ["b", "c"]).select("cell", *[smoothed(full, ["a", "b"], k, F.col(f"l{k}")) for k in "10"])
-    ratio = p2.select("cell", (F.log("p1") - F.log("p0")).alias("ratio"))
-    return ratio.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
-
-
-def score(url: Column, ratios: Column) -> Column:
-    """The log-likelihood difference by the number of characters, the end counting as one."""
-    at = cells(url)
-    return F.aggregate(at, F.lit(0.0), lambda so_far, x: so_far + F.get(ratios, x)) / F.size(at)
+    return F.concat(F.lit(START), F.translate(body, "123456789", "000000000"), F.lit(END))
+
+
+def strings(text: str) -> Column:
+    """All strings of one to ORDER + 1 characters that end at a character of column `text` after its first."""
+    return F.expr(f"flatten(transform(sequence(2, length(`{text}`)), i -> transform(sequence(1, least({ORDER + 1}, i)), n -> substring(`{text}`, i - n + 1, n))))")
+
+
+def longest(text: str) -> Column:
+    """For each character of column `text` after its first the longest of its strings."""
+    return F.expr(f"transform(sequence(2, length(`{text}`)), i -> substring(`{text}`, greatest(1, i - {ORDER}), least({ORDER + 1}, i)))")
+
+
+def _joined(rows: DataFrame, facts: DataFrame, key: str, how: str) -> DataFrame:
+    """rows with the one row of facts of their key. Keys with over HOT_SHARE of the rows, at most its inverse in number, are
+    joined by broadcast; in the join of the others no key is large."""
+    counts = stored(rows.groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
+    least = int((counts.agg(F.sum("_n")).first()[0] or 0) * HOT_SHARE) + 1
+    hot = counts.where(F.col("_n") > least).select(key)
+    common = rows.join(F.broadcast(facts.join(F.broadcast(hot), key)), key)
+    return common.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(facts, key, how))
+
+
+def log_ratios(known: DataFrame, urls: DataFrame) -> DataFrame:
+    """For each of the longest strings of the urls (text): string and ratio, the log probability of its last character after
+    the others among accepted URLs less that among rejected ones. known: text, accepted."""
+    seen = known.select("accepted", F.explode(strings("text")).alias("string")).groupBy("string").agg(F.count_if("accepted").alias("n1"), F.count_if(~F.col("accepted")).alias("n0"))
+    seen = stored(seen, "url-strings")
+    before = F.expr("substring(string, 1, length(string) - 1)").alias("before")
+    stats = seen.where("length(string) > 1").groupBy(before).agg(
+        *[F.sum(f"n{k}").alias(f"m{k}") for k in "10"], *[F.count_if(F.col(f"n{k}") > 0).alias(f"t{k}") for k in "10"])
+    totals = seen.where("length(string) = 1").agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"a{k}") for k in "10"])
+    asked = urls.select(F.explode(strings("text")).alias("string")).distinct()
+    facts = asked.join(seen, "string", "left").withColumn("before", before).join(stats, "before", "left").crossJoin(F.broadcast(totals))
+    facts = stored(facts.select("string", F.length("string").alias("size"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n1", "n0", "m1", "m0", "t1", "t0")], "a1", "a0"), "url-facts")
+    shorter = stored(facts.where("size = 1").select("string", *[((F.col(f"n{k}") + 1) / (F.col(f"a{k}") + CHARACTERS)).alias(f"p{k}") for k in "10"]), "url-odds")
+    found = []
+    for size in range(2, ORDER + 2):
+        rest = shorter.select(F.col("string").alias("after"), F.col("p1").alias("q1"), F.col("p0").alias("q0"))
+        own = facts.where(F.col("size") == size).withColumn("after", F.expr("substring(string, 2)")).join(rest, "after")
+        # a context that was never seen says nothing
+        odds = [F.when(F.col(f"m{k}") > 0, (F.col(f"n{k}") + F.col(f"t{k}") * F.col(f"q{k}")) / (F.col(f"m{k}") + F.col(f"t{k}"))).otherwise(F.col(f"q{k}")).alias(f"p{k}") for k in "10"]
+        shorter = stored(own.select("string", *odds), "url-odds")
+        found.append(shorter if size > ORDER else shorter.where(F.startswith("string", F.lit(START))))
+    ratio = (F.log("p1") - F.log("p0")).alias("ratio")
+    return reduce(DataFrame.unionByName, [f.select("string", ratio) for f in found])
+
+
+def scored(urls: DataFrame, ratios: DataFrame) -> DataFrame:
+    """url and score, the log-likelihood difference by the number of characters, the end counting as one. urls: url (distinct), text."""
+    positions = urls.select("url", F.explode(longest("text")).alias("string"))
+    return _joined(positions, ratios, "string", "inner").groupBy("url").agg((F.sum("ratio") / F.count("*")).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -128,15 +151,19 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     The verdict is that of the longest rule that fits, else allow if the score reaches the threshold. A null URL is an
     empty one; its score is that of an empty URL. Without ruled URLs of both kinds the threshold is 0, without any all
-    scores are 0 and URLs that no rule fits are allowed. Rows that repeat give a row each, an empty table none.
+    scores are 0 and URLs that no rule fits are allowed. Every row with a ruled URL counts for the models, repeats included.
+    URLs of any length are scored whole, other columns are ignored whatever their names, rows that repeat give a row each,
+    and an empty table none.
     """
-    rows = pages.select(F.col(f"`{id_col}`").alias("page"), F.col(f"`{url_col}`").alias("url"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("page"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), F.col(f"`{url_col}`").isNull().alias("_null"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = rows.withColumn("_ruled", ruled(F.col("host"), F.col("path"), rules))
-    known = rows.where("_ruled.verdict is not null").select("url", (F.col("_ruled.verdict") == "allow").alias("accepted"))
-    held_back = F.crc32(F.col("url").cast("binary")) % HELD_BACK == 0
-    ratios = session_constant(log_ratios(known.where(~held_back)))
-    cut = threshold(known.where(held_back).select("accepted", score(F.col("url"), ratios).alias("score")))
-    scored = rows.withColumn("score", score(F.col("url"), ratios))
+    urls = stored(rows.select("url").distinct().withColumn("text", marked(F.col("url"))), "urls")
+    known = rows.where("_ruled.verdict is not null").select("url", marked(F.col("url")).alias("text"), (F.col("_ruled.verdict") == "allow").alias("accepted"))
+    ratios = stored(log_ratios(known.where(~held_back(F.col("url"))), urls), "url-ratios")
+    scores = stored(scored(urls, ratios), "url-scores")
+    told = _joined(rows, scores, "url", "left")
+    tried = told.where(F.col("_ruled.verdict").isNotNull() & held_back(F.col("url")))
+    cut = threshold(tried.select((F.col("_ruled.verdict") == "allow").alias("accepted"), "score"))
     verdict = F.coalesce(F.col("_ruled.verdict"), F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    return scored.select("page", "url", "host", "path", F.col("_ruled.rule").alias("rule"), verdict.alias("verdict"), "score")
+    return told.select("page", F.when(~F.col("_null"), F.col("url")).alias("url"), "host", "path", F.col("_ruled.rule").alias("rule"), verdict.alias("verdict"), "score")
