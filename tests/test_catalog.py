@@ -86,6 +86,22 @@ def test_validation_and_suspension(spark, units):
     assert c.eras_frame(spark).count() == 2
 
 
+def test_predicates_owners_and_what_is_kept(spark, units):
+    c = catalog(units)
+    c.add_unique_key("unit", ["note"], KeyType.PREDICATED, predicate="name = 'name''s' and note is not null", name="noted")
+    c.rename_column("unit", "name", "label")
+    assert [k.predicate for k in c.unique_keys if k.name == "noted"] == ["label = 'name''s' and note is not null"]
+    with pytest.raises(CatalogError, match="noted"):
+        c.check_drop_column("unit", "label")
+    c.disable_checks("unit")
+    assert Catalog.from_json(c.to_json()).suspended == {"unit"}
+    own = catalog(units)
+    moved = units.unionByName(spark.createDataFrame([(99, "A", "x", "n", D("2030-01-01"), D("2031-01-01"))], UNITS))
+    broken = {n for n, rows in own.violations({"unit": moved}).items() if not rows.isEmpty()}
+    assert {n for n in broken if n.endswith("_one_owner")} == {n for n in own.violations({"unit": moved}) if n.endswith("_one_owner")} != set()
+    own.validate({"unit": units})
+
+
 def test_merge_uses_what_is_known(spark, units):
     source = spark.createDataFrame([(1, None, "A", "new", "m", D("2024-06-01"), D("2024-07-01"))], "row_id int, " + UNITS)
     merged = catalog(units).merge("unit", units, source)

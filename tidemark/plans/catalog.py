@@ -99,6 +99,11 @@ def make_name(*parts: str, suffix: str = "") -> str:
     return (body[: NAME_BYTES - len(tail)].decode(errors="ignore")) + tail.decode()
 
 
+def _outside_strings(text: str, change) -> str:
+    """text with change applied to what stands outside its quoted strings."""
+    return "".join(part if part.startswith("'") else change(part) for part in re.split(r"('(?:[^']|'')*')", text))
+
+
 class Catalog:
     def __init__(self):
         self.eras: list[Era] = []
@@ -247,6 +252,11 @@ class Catalog:
         for k in (k for k in self.unique_keys if k.table == table):
             if column in k.columns:
                 raise CatalogError(f"key {k.name} needs {table}.{column}")
+        for k in (k for k in self.unique_keys if k.table == table and k.predicate):
+            named: list[str] = []
+            _outside_strings(k.predicate, lambda part: named.extend(re.findall(r"\w+", part)) or part)
+            if column in named:
+                raise CatalogError(f"the predicate of {k.name} needs {table}.{column}")
         for f in (f for f in self.foreign_keys if f.table == table):
             if column in f.columns:
                 raise CatalogError(f"foreign key {f.name} needs {table}.{column}")
@@ -269,7 +279,7 @@ class Catalog:
         for k in (k for k in self.unique_keys if k.table == table):
             k.columns, k.exclusive_columns = [swap(c) for c in k.columns], [swap(c) for c in k.exclusive_columns]
             if k.predicate:
-                k.predicate = re.sub(rf"\b{re.escape(old)}\b", new, k.predicate)
+                k.predicate = _outside_strings(k.predicate, lambda part: re.sub(rf"\b{re.escape(old)}\b", new, part))
         for f in (f for f in self.foreign_keys if f.table == table):
             f.columns = [swap(c) for c in f.columns]
         if table in self.history:
@@ -284,12 +294,16 @@ class Catalog:
     # -- data -------------------------------------------------------------------------------------------------------
 
     def violations(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """For each key and foreign key of the given tables, the rows that break it; suspended tables are left out."""
+        """For each key and foreign key of the given tables, the rows that break it, and under the name of a natural key with
+        _one_owner its values that ever belonged to more than one primary key; suspended tables are left out."""
         out = {}
         for k in self.unique_keys:
             if k.table in tables and k.table not in self.suspended:
                 e = self.era(k.table, k.era)
                 out[k.name] = rules.unique_key_violations(tables[k.table], k.columns, k.kind, k.predicate, e.valid_from, e.valid_until)
+                primary = next((x.columns for x in self.unique_keys if x.table == k.table and x.era == k.era and x.kind == "primary"), None)
+                if primary and k.kind in ("natural", "exclusive") and set(primary) != set(k.columns):
+                    out[f"{k.name}_one_owner"] = rules.pk_consistency_violations(tables[k.table], k.columns, primary, k.kind == "exclusive")
         for f in self.foreign_keys:
             if {f.table, f.parent} <= set(tables) and f.table not in self.suspended:
                 key = self._named(self.unique_keys, f.parent_key)
@@ -324,11 +338,12 @@ class Catalog:
 
     def to_json(self) -> str:
         kinds = {"eras": self.eras, "unique_keys": self.unique_keys, "foreign_keys": self.foreign_keys, "views": self.views}
-        return json.dumps({k: [asdict(x) for x in v] for k, v in kinds.items()} | {"history": self.history}, indent=1)
+        return json.dumps({k: [asdict(x) for x in v] for k, v in kinds.items()} | {"history": self.history, "suspended": sorted(self.suspended)}, indent=1)
 
     @classmethod
     def from_json(cls, text: str) -> Catalog:
         raw, out = json.loads(text), cls()
         out.eras, out.unique_keys = [Era(**x) for x in raw["eras"]], [UniqueKey(**x) for x in raw["unique_keys"]]
         out.foreign_keys, out.views, out.history = [ForeignKey(**x) for x in raw["foreign_keys"]], [View(**x) for x in raw["views"]], raw["history"]
+        out.suspended = set(raw.get("suspended", ()))
         return out
