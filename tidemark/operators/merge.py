@@ -125,6 +125,7 @@ class TemporalMerge:
         self.given = [c for c in self.payload if c in source.columns]
         self._held: list[DataFrame] = []
         self._persist = persist
+        self._range: tuple[str, list[str]] | None = None
 
     # -- who is who -------------------------------------------------------------------------------------------------
 
@@ -358,6 +359,14 @@ class TemporalMerge:
     @cached_property
     def target_after(self) -> DataFrame:
         """The new snapshot: the target's columns, entities out of scope as they were."""
+        if self._range is None:
+            return self._after
+        name, columns = self._range
+        period = F.struct(F.col(self.spec.f).alias("lower"), F.col(self.spec.u).alias("upper")).alias(name)
+        return self._after.select(*[period if c == name else F.col(f"`{c}`") for c in columns])
+
+    @cached_property
+    def _after(self) -> DataFrame:
         spec = self.spec
         rows = self._identified(self._resolved())
         inserted = F.col("_from").isNull()
@@ -484,11 +493,18 @@ def _numbered(rows: DataFrame, order: str, tie: str) -> DataFrame:
     return ranked.withColumn("_number", F.col("_number") + 1)
 
 
-def temporal_merge(target: DataFrame, source: DataFrame, persist: bool | str = True, **spec) -> TemporalMerge:
+def temporal_merge(target: DataFrame, source: DataFrame, persist: bool | str = True, range_column: str | None = None, **spec) -> TemporalMerge:
     """Merge source into target; the keywords are those of MergeSpec. persist: "memory" (or True) caches the steps that the
     results share until release(), "settled" writes them to the shared folder, False works them out again for each result,
-    which is best where only target_after is wanted."""
+    which is best where only target_after is wanted. range_column: a struct (lower, upper) that holds the target's period,
+    alone or beside boundary columns, which then follow it; the source has the same struct or the boundary columns."""
     spec = {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in spec.items()}
     if persist not in (True, False, "memory", "settled"):
         raise ValueError(f"unknown way to persist: {persist}")
-    return TemporalMerge(target, source, MergeSpec(**spec), {True: "memory", False: None}.get(persist, persist))
+    columns, known = target.columns, MergeSpec(**spec)
+    if range_column:
+        bounds = {known.f: F.col(range_column)["lower"], known.u: F.col(range_column)["upper"]}
+        target, source = (df.withColumns(bounds).drop(range_column) if range_column in df.columns else df for df in (target, source))
+    merge = TemporalMerge(target, source, known, {True: "memory", False: None}.get(persist, persist))
+    merge._range = (range_column, columns) if range_column else None
+    return merge

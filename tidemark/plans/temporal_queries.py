@@ -443,6 +443,18 @@ for _kind, _spark, _sql in (
     query(f"merge_{_kind}_periods", f"SELECT id, status, priority, note, {_ends} FROM ({_after_sql('MERGE_ENTITY_UPSERT')})")(_typed)
 
 
+# ... and where a struct holds the period
+for _kind, _of, _ends in (("date", lambda c: F.col(c), ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c}" for c in VALID)), ("int", lambda c: F.unix_date(c), ", ".join(f"{_DAY.format(c=c)} AS {c}" for c in VALID))):
+
+    def _ranged(spark, sf_dir, of=_of):
+        packed = lambda df: df.withColumn("period", F.struct(of("valid_from").alias("lower"), of("valid_until").alias("upper"))).drop(*VALID)
+        after = temporal_merge(packed(merge_target(spark, sf_dir)), packed(merge_source(spark, sf_dir)), identity=["id"], mode="MERGE_ENTITY_PATCH", ephemeral=["note"], range_column="period", persist=False).target_after
+        ends = {c: F.col("period")[k] for c, k in zip(VALID, ("lower", "upper"), strict=True)}
+        return after.withColumns({c: F.date_format(e, "yyyy-MM-dd") if dict(after.dtypes)["period"].startswith("struct<lower:date") else e for c, e in ends.items()}).drop("period")
+
+    query(f"merge_{_kind}_range", f"SELECT id, status, priority, note, {_ends} FROM ({_after_sql('MERGE_ENTITY_PATCH')})")(_ranged)
+
+
 @query("merge_valid_to", f"SELECT id, status, priority, note, valid_from, valid_until, CASE WHEN valid_until = DATE '9999-12-31' THEN valid_until ELSE valid_until - 1 END AS valid_to FROM ({_after_sql('MERGE_ENTITY_PATCH')})", (*VALID, "valid_to"))
 def merge_valid_to(spark, sf_dir):
     last = F.when(F.col("valid_until") == F.lit("9999-12-31").cast("date"), F.col("valid_until")).otherwise(F.date_sub("valid_until", 1))
