@@ -29,7 +29,7 @@ LEAF, FAN = 16, 4
 #: Fingerprints of a page, the part of the index that a task holds at once.
 PAGE = 1 << 16
 #: Pairs of nodes, and of leaves, that are looked at together.
-NODE_PAIRS, LEAF_PAIRS = 1 << 16, 1 << 11
+NODE_PAIRS, LEAF_PAIRS = 1 << 13, 1 << 10
 SEED = 42
 #: Keys of MinHash that bring similar texts together: at a similarity of 0.8 all BANDS of BAND_ROWS miss one pair in 1,300.
 BANDS, BAND_ROWS = 10, 3
@@ -56,7 +56,7 @@ class _WordHashes(dict):
     """XXH64 of words, remembered while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 1 << 16:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word, SEED)
         return found
@@ -275,7 +275,7 @@ def linked_parts(prints: np.ndarray, distance: int, segment: tuple[int, int] = (
 # -- searching groups in tasks --------------------------------------------------------------------------------------------
 
 
-def _whole_groups(least: int, find: Callable[[dict], tuple[np.ndarray, np.ndarray]]):
+def _whole_groups(least: int, find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]):
     """For mapInArrow over rows sorted by group: find(rows) for portions of whole groups with at least so many rows together;
     the links that it gives, a > b."""
 
@@ -284,7 +284,7 @@ def _whole_groups(least: int, find: Callable[[dict], tuple[np.ndarray, np.ndarra
         rows = 0
 
         def links(batch: pa.Table) -> Iterator[pa.RecordBatch]:
-            a, b = find({c: batch.column(c).to_numpy() for c in batch.column_names}) if batch.num_rows > 1 else (np.zeros(0, np.int64),) * 2
+            a, b = find(batch) if batch.num_rows > 1 else (np.zeros(0, np.int64),) * 2
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
@@ -311,8 +311,8 @@ def _by_index(distance: int):
     """Links by the Gray index, a page at a time."""
     cut = segments(distance)
 
-    def find(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        found = []
+    def find(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rows, found = {c: batch.column(c).to_numpy() for c in ("t", "print", "rep")}, []
         for t in np.unique(rows["t"]).tolist():
             own = rows["t"] == t
             root = linked_parts(rows["print"][own].view(np.uint64), distance, cut[t])
@@ -324,18 +324,18 @@ def _by_index(distance: int):
     return find
 
 
-def _by_group(parts: Callable[[dict], np.ndarray]):
+def _by_group(parts: Callable[[pa.Table], np.ndarray]):
     """Links within each group, by its parts."""
 
-    def find(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        group = rows["group"]
+    def find(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        group, reps = batch.column("group").to_numpy(), batch.column("rep").to_numpy()
         starts = np.concatenate(([0], np.nonzero(group[1:] != group[:-1])[0] + 1, [len(group)]))
         found = [(np.zeros(0, np.int64),) * 2]
         for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             if j - i > 1:
-                root = parts({c: v[i:j] for c, v in rows.items()})
+                root = parts(batch.slice(i, j - i))  # only this group's values become Python objects
                 moved = root != np.arange(j - i)
-                found.append((rows["rep"][i:j][moved], rows["rep"][i:j][root[moved]]))
+                found.append((reps[i:j][moved], reps[i:j][root[moved]]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return a, b
 
@@ -444,7 +444,7 @@ def band_links(nodes: DataFrame, most: int) -> DataFrame:
     """Links a > b between the reps of nodes (rep, sketch, bands) that agree in a band and whose sketches are at most `most`
     bits apart, spanning the parts of each band's groups."""
     keyed = nodes.select("rep", "sketch", F.posexplode("bands").alias("t", "key"))
-    wide = lambda rows: sketch_parts(np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(-1, 4), most)
+    wide = lambda rows: sketch_parts(np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, 4), most)
     return _in_blocks(keyed, ["rep", "sketch"], SKETCHES, _by_group(wide))
 
 
@@ -459,7 +459,7 @@ def exact_links(texts: DataFrame, similarity: float, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("rep"), pa.array(sets, pa.binary())], ["key", "rep", "shingles"])
 
     sets = stored(texts.select("key", "rep", "text").mapInArrow(run, "key long, rep long, shingles binary"), "shingles")
-    alike = lambda rows: similar_parts([np.frombuffer(x, np.uint64) for x in rows["shingles"]], similarity)
+    alike = lambda rows: similar_parts([np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()], similarity)
     return _in_blocks(sets.withColumn("t", F.lit(0)), ["rep", "shingles"], TEXTS, _by_group(alike))
 
 
