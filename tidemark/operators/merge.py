@@ -167,13 +167,14 @@ class TemporalMerge:
             theirs = self.target.select(*[F.col(f"`{c}`").alias(f"_t_{c}") for c in dict.fromkeys([*key, *spec.entity])]).join(asked, same, "left_semi").distinct()
             if by_identity and not spec.natural_keys:
                 return self._grouped_by_identity(rows, theirs)
-            hit = usable.join(theirs, same).select("_rid", F.lit(0 if by_identity else 1).alias("_by"), F.struct(*[F.col(f"_t_{c}").alias(c) for c in spec.entity]).alias("_hit"))
+            # a key can hit any number of entities, which are not paired with its rows: the first eleven tell what is asked for
+            first = theirs.select(*[f"_t_{c}" for c in key], F.struct(*[F.col(f"_t_{c}").alias(c) for c in spec.entity]).alias("_hit"))
+            nth = F.row_number().over(Window.partitionBy(*[f"_t_{c}" for c in key]).orderBy("_hit"))
+            first = first.withColumn("_nth", nth).where("_nth <= 11").groupBy(*[f"_t_{c}" for c in key]).agg(F.collect_list("_hit").alias("_first"))
+            hit = usable.join(first, same).select("_rid", F.lit(0 if by_identity else 1).alias("_by"), "_first")
             found = hit if found is None else found.unionByName(hit)
-        # a key can hit any number of entities: their number and the first ten are enough
-        hits = found.distinct().groupBy("_rid", "_by").agg(F.count("*").alias("_n"), F.min("_hit").alias("_hit"))
-        firsts = found.distinct().withColumn("_nth", F.row_number().over(Window.partitionBy("_rid", "_by").orderBy("_hit"))).where("_nth <= 10")
-        firsts = firsts.groupBy("_rid", "_by").agg(F.array_sort(F.collect_list("_hit")).alias("_ten"))
-        hits = hits.join(firsts, ["_rid", "_by"])
+        hits = found.groupBy("_rid", "_by").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_first")))).alias("_all"))
+        hits = hits.select("_rid", "_by", F.size("_all").alias("_n"), F.get("_all", F.lit(0)).alias("_hit"), F.slice("_all", 1, 10).alias("_ten"))
         # a match by identity counts alone; natural keys may find one entity several times
         hits = hits.groupBy("_rid").agg(F.min_by(F.struct("_n", "_hit", "_ten"), "_by").alias("_hits"))
         joined = rows.join(hits, "_rid", "left").withColumn("_new", F.col("_hits").isNull())
