@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import views
 from tidemark.operators.merge import temporal_merge
 
 D = date.fromisoformat
@@ -34,3 +35,13 @@ def test_a_natural_key_of_many_entities_is_not_paired_with_its_rows(spark):
     assert len(told) == 500 and told[0] == told[499] == text(0, 10, ", ...")
     assert (told[7], told[8], told[9]) == (text(1000, 10, ", ..."), text(2000, 10), None)
     assert most_rows(judged) < 5_000
+
+
+def test_a_current_update_reads_its_table_once(spark):
+    df = spark.range(8).selectExpr("id", "concat('d', id % 2) as dept", "date_add(date'2024-01-01', cast(id as int)) as valid_from", "if(id = 4, date'2024-02-01', date'9999-12-31') as valid_until").repartition(2)
+    after = views.current_update(df, {"dept": F.concat("dept", F.lit("+"), F.col("valid_from").cast("string"))}, F.col("id") % 2 == 0, "2024-01-07")
+    end, now = D("9999-12-31"), D("2024-01-07")
+    kept = [(i, "d1", D(f"2024-01-0{i + 1}"), end) for i in (1, 3, 5, 7)] + [(4, "d0", D("2024-01-05"), D("2024-02-01"))]
+    want = kept + [(i, "d0", D(f"2024-01-0{i + 1}"), now) for i in (0, 2)] + [(i, "d0+2024-01-07", now, end) for i in (0, 2, 6)]
+    assert sorted(tuple(r) for r in after.collect()) == sorted(want)
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1

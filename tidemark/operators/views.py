@@ -52,10 +52,12 @@ def current_update(df: DataFrame, changes: dict[str, Any], where: Column, now: A
     kind = df.schema[f].dataType
     hit = F.coalesce(where & (F.col(u) == forever(kind)) & (F.col(f) <= _value(now, kind)), F.lit(False))
     types = dict(df.dtypes)
-    marked = df.withColumns({"_hit": hit, "_now": _value(now, kind)})
-    closed = marked.where("_hit").where(F.col(f) < F.col("_now")).withColumn(u, F.col("_now"))
-    opened = marked.where("_hit").withColumn(f, F.col("_now")).withColumns({c: _value(v, types[c]) for c, v in changes.items()})
-    return marked.where("not _hit").unionByName(closed).unionByName(opened).select(*df.columns)
+    # one pass over the table: a row stays as it is (0), or becomes what ends at `now` (1) and what begins then (2)
+    parts = F.when(~F.col("_hit"), F.array(F.lit(0))).when(F.col(f) < F.col("_now"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    rows = df.withColumns({"_hit": hit, "_now": _value(now, kind)}).withColumn("_part", F.explode(parts))
+    opened = lambda c, new: F.when(F.col("_part") == 2, new).otherwise(F.col(f"`{c}`"))
+    rows = rows.withColumn(u, F.when(F.col("_part") == 1, F.col("_now")).otherwise(F.col(u))).withColumn(f, opened(f, F.col("_now")))
+    return rows.withColumns({c: opened(c, _value(v, types[c])) for c, v in changes.items()}).select(*df.columns)
 
 
 def current_end(df: DataFrame, where: Column, now: Any, changes: dict[str, Any] | None = None, f: str = "valid_from", u: str = "valid_until") -> DataFrame:
