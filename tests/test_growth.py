@@ -45,3 +45,15 @@ def test_a_current_update_reads_its_table_once(spark):
     want = kept + [(i, "d0", D(f"2024-01-0{i + 1}"), now) for i in (0, 2)] + [(i, "d0+2024-01-07", now, end) for i in (0, 2, 6)]
     assert sorted(tuple(r) for r in after.collect()) == sorted(want)
     assert after._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_a_plan_joins_blocks_once_and_groups_none(spark):
+    dates = {"valid_from": F.lit("2020-01-01").cast("date"), "valid_until": F.lit("2021-01-01").cast("date")}
+    target = spark.range(20).selectExpr("id", "concat('t', id) as tariff").withColumns(dates)
+    source = spark.range(10, 30).selectExpr("id as row_id", "id", "concat('t', id - id % 2) as tariff").withColumns(dates)
+    merge = temporal_merge(target, source, identity=["id"], mode="MERGE_ENTITY_UPSERT", persist="settled")
+    plan = merge.plan.select("id", "operation")
+    assert sorted(tuple(r) for r in plan.collect()) == [(i, "UPDATE" if i < 20 and i % 2 else "SKIP_IDENTICAL" if i < 20 else "INSERT") for i in range(10, 30)]
+    steps = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.count("Join ") == 1 and "FullOuter" not in steps
+    assert "Aggregate" not in merge._resolved(True)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]

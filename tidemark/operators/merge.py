@@ -312,21 +312,20 @@ class TemporalMerge:
         for c in self.data:
             same = same & F.lag(self._comparable(f"_c_{c}")).over(own).eqNullSafe(self._comparable(f"_c_{c}"))
         found = found.withColumn("_start", F.when(same, 0).otherwise(1))
-        return found.withColumn("_block", F.sum("_start").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+        return found.withColumn("_block", F.sum("_start").over(own.rowsBetween(Window.unboundedPreceding, 0)))
 
     def _resolved(self, named: bool = False) -> DataFrame:
         """The coalesced pieces, one row for each block: _g, _block, _f, _u, _from (start of the target row that it comes from),
         _e_*, _c_* payload, ... and with `named` row_ids, the source rows behind it."""
-        # a block's values are those of its first piece, its ephemeral ones those of its last
-        spec = self.spec
-        steady = [c for c in self.payload if c not in spec.ephemeral]
-        first_of = lambda c: F.expr(f"min_by({c}, _p) filter (where {c} is not null)")
-        blocks = self._marked(named).groupBy("_g", "_block").agg(
-            F.min("_p").alias("_f"), F.max("_n").alias("_u"), first_of("_tf").alias("_from"), F.max("_sourced").alias("_sourced"), first_of("_st").alias("s_t_relation"), F.min("_cause").alias("_cause"), first_of("_by").alias("_by"),
-            F.max("_is_new").alias("_is_new"), F.min_by(F.struct(*[F.col(f"_e_{c}") for c in spec.entity], *[F.col(f"_c_{c}") for c in steady]), "_p").alias("_start"), *([F.max_by(F.struct(*[F.col(f"_c_{c}") for c in spec.ephemeral]), "_p").alias("_end")] if spec.ephemeral else []),
-            *([F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("row_ids")] if named else []))
-        values = [F.col("_start")[f"_e_{c}"].alias(f"_e_{c}") for c in spec.entity] + [F.col("_end" if c in spec.ephemeral else "_start")[f"_c_{c}"].alias(f"_c_{c}") for c in self.payload]
-        return blocks.select("_g", "_block", "_f", "_u", "_from", "_sourced", "s_t_relation", "_cause", "_by", "_is_new", *(["row_ids"] if named else []), *values)
+        # a block's values are those of its first piece, which is kept, its ephemeral ones those of its last
+        whole = Window.partitionBy("_g", "_block").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first_of = lambda c: F.first(c, ignorenulls=True).over(whole)
+        blocks = self._marked(named).withColumns({
+            "_u": F.max("_n").over(whole), "_from": first_of("_tf"), "_sourced": F.max("_sourced").over(whole), "s_t_relation": first_of("_st"), "_by": first_of("_by"), **{f"_c_{c}": F.last(f"_c_{c}").over(whole) for c in self.payload if c in self.spec.ephemeral},
+            **({"row_ids": F.collect_list("_ids").over(whole)} if named else {})}).where("_start = 1")
+        values = [f"_e_{c}" for c in self.spec.entity] + [f"_c_{c}" for c in self.payload]
+        ids = [F.array_sort(F.array_distinct(F.flatten("row_ids"))).alias("row_ids")] if named else []
+        return blocks.select("_g", "_block", F.col("_p").alias("_f"), "_u", "_from", "_sourced", "s_t_relation", "_cause", "_by", "_is_new", *ids, *[F.col(f"`{c}`") for c in values])
 
     def _comparable(self, name: str) -> Column:
         column = name.removeprefix("_c_").removeprefix("_t_")
@@ -392,17 +391,19 @@ class TemporalMerge:
         grouping_key. Deletions name the source rows that overlap what they delete. ordered_plan() numbers the rows.
         """
         spec = self.spec
-        t = self._scope.withColumnsRenamed({"_g": "_tg"} | {f"_e_{c}": f"_te_{c}" for c in spec.entity})
+        t = self._scope.withColumnsRenamed({f"_e_{c}": f"_te_{c}" for c in spec.entity})
         blocks = self._hold(self._identified(self._resolved(named=True)))
-        both = blocks.join(t, (F.col("_g") == F.col("_tg")) & (F.col("_from") == F.col("_tf")), "full")
-        both = both.withColumns({"_g": F.coalesce("_g", "_tg"), "_is_new": F.coalesce("_is_new", F.lit(False)), **{f"_e_{c}": F.coalesce(f"_te_{c}", f"_e_{c}") for c in spec.entity}})
+        # a block comes from one target row, with which it is compared, or from none; rows of both sides are dealt once
+        based = blocks.where("_from is not null").withColumnRenamed("_g", "_bg")
+        from_it = (F.col("_g") == F.col("_bg")) & (F.col("_tf") == F.col("_from"))
+        both = t.join(based, from_it, "left")
         equal = lambda columns: reduce(lambda a, b: a & b, [self._comparable(f"_c_{c}").eqNullSafe(self._comparable(f"_t_{c}")) for c in columns], F.lit(True))
         both = both.withColumns({"_same_data": equal(self.data), "_same_all": equal(self.payload)})
         own = Window.partitionBy("_g", "_tf").orderBy((F.col("_f") == F.col("_tf")).desc(), F.col("_same_data").desc(), "_f", "_u")
         both = both.withColumn("_rank", F.row_number().over(own))
         operation = (
             F.when(F.col("_f").isNull(), "DELETE")
-            .when(F.col("_tf").isNull() | (F.col("_rank") > 1), "INSERT")
+            .when(F.col("_rank") > 1, "INSERT")
             .when((F.col("_f") == F.col("_tf")) & (F.col("_u") == F.col("_tu")) & F.col("_same_all"), "SKIP_IDENTICAL")
             .otherwise("UPDATE")
         )
@@ -412,12 +413,14 @@ class TemporalMerge:
         over = self._active.select(F.col("_g").alias("_og"), F.col("_f").alias("_of"), F.col("_u").alias("_ou"), F.col("_rid").alias("_orid"))
         # a row that only takes away covers nothing that is left, so what changes names the rows that overlap what was there
         taking = spec.mode == "DELETE_FOR_PORTION_OF"
-        changed = both.where("_tf is not null" if taking else "operation = 'DELETE'").select("_g", "_tf", "_tu").distinct()
+        changed = (t if taking else t.join(based, from_it, "left_anti")).select("_g", "_tf", "_tu").distinct()
         gone = changed.join(over, (F.col("_g") == F.col("_og")) & (F.col("_of") < F.col("_tu")) & (F.col("_ou") > F.col("_tf")))
         gone = gone.groupBy("_g", "_tf").agg(F.array_sort(F.collect_set("_orid")).alias("_gone"))
         none = F.array().cast("array<long>")
         named = F.coalesce("_gone", none) if taking else F.coalesce("row_ids", "_gone", none)
-        both = both.join(gone, ["_g", "_tf"], "left").withColumn("row_ids", named)
+        both = both.join(gone, ["_g", "_tf"], "left")
+        both = both.unionByName(blocks.where("_from is null").withColumn("operation", F.lit("INSERT")), allowMissingColumns=True)
+        both = both.withColumns({"row_ids": named, "_is_new": F.coalesce("_is_new", F.lit(False)), **{f"_e_{c}": F.coalesce(f"_te_{c}", f"_e_{c}") for c in spec.entity}})
         done = both.withColumn("update_effect", effect)
         keep = lambda c: F.when(F.col("operation") == "DELETE", F.col(f"_t_{c}")).otherwise(F.col(f"_c_{c}"))
         done = done.select(
@@ -433,7 +436,9 @@ class TemporalMerge:
             *[nothing(c, self.kind) for c in ("old_valid_from", "old_valid_until", "new_valid_from", "new_valid_until")],
             *[nothing(c, kinds[c]) for c in self.payload if c not in spec.entity], F.col("_error").alias("feedback"), F.col("_g").alias("grouping_key"))
         order = F.when(F.col("operation") == "DELETE", 1).when(F.col("operation") == "UPDATE", F.when(F.col("update_effect").isin("NONE", "SHRINK"), 2).when(F.col("update_effect") == "MOVE", 3).otherwise(4)).when(F.col("operation") == "INSERT", 5).otherwise(6)
-        return self._hold(done.unionByName(left_out).withColumn("statement_seq", order))
+        planned = done.unionByName(left_out).withColumn("statement_seq", order)
+        # one join away from the settled blocks and target rows, so a result that needs a few of its columns reads just these
+        return planned if self._persist == "settled" else self._hold(planned)
 
     def ordered_plan(self) -> DataFrame:
         """plan, sorted, with plan_op_seq."""
