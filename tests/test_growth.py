@@ -57,3 +57,21 @@ def test_a_plan_joins_blocks_once_and_groups_none(spark):
     steps = plan._jdf.queryExecution().optimizedPlan().toString()
     assert steps.count("Join ") == 1 and "FullOuter" not in steps
     assert "Aggregate" not in merge._resolved(True)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
+def test_a_snapshot_sorts_its_pieces_once(spark):
+    target = spark.createDataFrame([(1, "a", "x", "t1", D("2020-01-01"), D("2020-03-01")), (1, "a", "x", "t2", D("2020-03-01"), D("2020-05-01")), (1, "b", "x", "t3", D("2020-05-01"), D("9999-12-31"))],
+                                   "id int, tariff string, zone string, note string, valid_from date, valid_until date")
+    source = spark.createDataFrame([(1, 1, "a", "s1", D("2020-02-01"), D("2020-04-01")), (2, 1, None, "s2", D("2020-06-01"), D("2020-07-01")), (3, 2, "c", "s3", D("2020-01-01"), D("2020-02-01")), (4, 2, "c", "s4", D("2020-02-01"), D("2020-03-01")), (5, 2, "c", "s5", D("2020-04-01"), D("2020-05-01"))],
+                                   "row_id int, id int, tariff string, note string, valid_from date, valid_until date")
+    merge = temporal_merge(target, source, identity=["id"], ephemeral=["note"], defaults={"zone": "new"}, delete_mode="DELETE_MISSING_ENTITIES", persist=False)
+    want = [(1, "a", "x", "t2", D("2020-01-01"), D("2020-05-01")), (1, "b", "x", "t3", D("2020-05-01"), D("9999-12-31")), (2, "c", "new", "s4", D("2020-01-01"), D("2020-03-01")), (2, "c", "new", "s5", D("2020-04-01"), D("2020-05-01"))]
+    assert sorted(tuple(r) for r in merge.target_after.collect()) == want
+    steps = merge.target_after._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert steps.count("Sort [") == 1 and "REPARTITION_BY_NUM" in steps
+    # what the source names is looked up by its keys alone: no row is joined to tell which entities stay as they are
+    merge = temporal_merge(target, source, identity=["id"], ephemeral=["note"], persist=False)
+    assert merge._of_touched("left_anti")._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    nameless = target.unionByName(target.limit(1).withColumn("id", F.lit(None).cast("int")))
+    after = temporal_merge(nameless, source.unionByName(source.limit(1).withColumns({"id": F.lit(None).cast("int"), "row_id": F.lit(6)})), identity=["id"], ephemeral=["note"], persist=False).target_after
+    assert sorted((r["id"] is None, r["note"]) for r in after.collect()) == [(False, "s4"), (False, "s5"), (False, "t2"), (False, "t3"), (True, "s1"), (True, "t1")]

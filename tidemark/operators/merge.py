@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.period import allen, forever, is_discrete, predecessor, successor
 from tidemark.operators import sweep
 from tidemark.operators.graph import components
+from tidemark.operators.ordering import dealt
 from tidemark.sources.snapshots import settled
 
 MODES = (
@@ -102,6 +103,12 @@ def _some(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, [c.isNotNull() for c in columns], F.lit(False))
 
 
+def _agree(ours: list[Column], theirs: list[Column]) -> list[Column]:
+    """Conditions that keys are the same, where those of one side are never all null. A single column is then compared plainly,
+    so that rows which are dealt and sorted by it already need not be again."""
+    return [ours[0] == theirs[0]] if len(ours) == 1 else [a.eqNullSafe(b) for a, b in zip(ours, theirs, strict=True)]
+
+
 class TemporalMerge:
     """A merge of source into target, worked out lazily: plan, target_after, feedback, source_with_identity.
 
@@ -161,12 +168,13 @@ class TemporalMerge:
             if not by_identity and not set(key) & set(self.source.columns):
                 continue
             usable = rows.where(_some(ours)).select("_rid", *[c.alias(f"_m_{n}") for c, n in zip(ours, key, strict=True)])
-            same = [F.col(f"_m_{c}").eqNullSafe(F.col(f"_t_{c}")) for c in key]
+            same = _agree([F.col(f"_m_{c}") for c in key], [F.col(f"_t_{c}") for c in key])
             # the source's keys pick the target's rows, so only what they hit is shuffled further
             asked = usable.drop("_rid").distinct()
-            theirs = self.target.select(*[F.col(f"`{c}`").alias(f"_t_{c}") for c in dict.fromkeys([*key, *spec.entity])]).join(asked, same, "left_semi").distinct()
+            theirs = self.target.select(*[F.col(f"`{c}`").alias(f"_t_{c}") for c in dict.fromkeys([*key, *spec.entity])])
             if by_identity and not spec.natural_keys:
-                return self._grouped_by_identity(rows, theirs)
+                return self._grouped_by_identity(rows, asked.join(theirs, same, "left_semi"))
+            theirs = theirs.join(asked, same, "left_semi").distinct()
             # a key can hit any number of entities, which are not paired with its rows: the first eleven tell what is asked for
             first = theirs.select(*[f"_t_{c}" for c in key], F.struct(*[F.col(f"_t_{c}").alias(c) for c in spec.entity]).alias("_hit"))
             nth = F.row_number().over(Window.partitionBy(*[f"_t_{c}" for c in key]).orderBy("_hit"))
@@ -189,11 +197,12 @@ class TemporalMerge:
         joined = joined.select(*[c for c in rows.columns if c not in names], *new_identity, "_new", error.alias("_error"))
         return self._grouped(joined)
 
-    def _grouped_by_identity(self, rows: DataFrame, theirs: DataFrame) -> DataFrame:
-        """The same where the identity alone finds entities, each of which is hit at most once."""
+    def _grouped_by_identity(self, rows: DataFrame, there: DataFrame) -> DataFrame:
+        """The same where the identity alone finds entities, each of which is hit at most once: those of there (_m_*)."""
         names = [f"_e_{c}" for c in self.spec.entity]
-        hit = theirs.select(*[F.col(f"_t_{c}") for c in self.spec.entity], F.lit(True).alias("_there"))
-        joined = rows.join(hit, [F.col(n).eqNullSafe(F.col(f"_t_{c}")) for n, c in zip(names, self.spec.entity, strict=True)], "left")
+        # dealt anew, so that no task sorts for the look-up and for what follows it, and few of them are broadcast
+        hit = there.repartition(F.xxhash64(*[f"_m_{c}" for c in self.spec.entity])).withColumn("_there", F.lit(True))
+        joined = rows.join(hit, _agree([F.col(n) for n in names], [F.col(f"_m_{c}") for c in self.spec.entity]), "left")
         return self._grouped(joined.select(*rows.columns, F.col("_there").isNull().alias("_new"), F.col("_wrong").alias("_error")))
 
     def _grouped(self, joined: DataFrame) -> DataFrame:
@@ -256,11 +265,17 @@ class TemporalMerge:
 
     @cached_property
     def _touched(self) -> DataFrame:
-        """The identities of the target's entities that the source names."""
-        return self.judged.where("not _new").select(*[F.col(f"_e_{c}").alias(f"_k_{c}") for c in self.spec.entity]).distinct()
+        """The identities that the source names, those of the target's entities among them. Where natural keys find entities
+        these alone; otherwise it is for the join to tell which are there."""
+        names = [F.col(f"_e_{c}") for c in self.spec.entity]
+        named = self.judged.where("not _new") if self.spec.natural_keys else self.judged.where(_some(names))
+        return named.select(*[n.alias(f"_k_{c}") for n, c in zip(names, self.spec.entity, strict=True)]).distinct()
 
     def _of_touched(self, how: str) -> DataFrame:
-        return self.target.join(self._touched, [F.col(f"`{c}`").eqNullSafe(F.col(f"_k_{c}")) for c in self.spec.entity], how)
+        theirs, ours = [F.col(f"`{c}`") for c in self.spec.entity], [F.col(f"_k_{c}") for c in self.spec.entity]
+        # an entity that a natural key finds may have no identity at all
+        same = [a.eqNullSafe(b) for a, b in zip(theirs, ours, strict=True)] if self.spec.natural_keys else _agree(theirs, ours)
+        return self.target.join(self._touched, same, how)
 
     @cached_property
     def _scope(self) -> DataFrame:
@@ -307,13 +322,26 @@ class TemporalMerge:
             "_g", "_p", "_n", "_sourced", "_tf", "_cause", "_by", "_is_new", *([behind.alias("_ids")] if named else []),
             F.when(F.col("_sourced") & targeted, allen(F.col("_lf"), F.col("_lu"), F.col("_tf"), F.col("_tu"))).alias("_st"),
             *[F.col(f"`_e_{c}`") for c in spec.entity], *[self._value(c).alias(f"_c_{c}") for c in self.payload])
-        own = Window.partitionBy("_g").orderBy("_p")
+        found, own = dealt(found, "_g"), Window.partitionBy("_g").orderBy("_p")
         same = F.lag("_n").over(own) == F.col("_p")
         for c in self.data:
             same = same & F.lag(self._comparable(f"_c_{c}")).over(own).eqNullSafe(self._comparable(f"_c_{c}"))
         found = found.withColumn("_start", F.when(same, 0).otherwise(1))
         return found.withColumn("_block", F.sum("_start").over(own.rowsBetween(Window.unboundedPreceding, 0)))
 
+    def _coalesced(self) -> DataFrame:
+        """The coalesced pieces, as far as a snapshot needs them: _g, _f, _u, _inserted (no piece is of a target row), _e_*, _c_*.
+
+        All of it goes by one order. The first and the last piece of a block follow each other once those between are left out.
+        """
+        own = Window.partitionBy("_g").orderBy("_p")
+        old = F.max(F.when(F.col("_tf").isNotNull(), F.col("_block"))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+        found = self._marked().withColumns({"_end": F.coalesce(F.lead("_start").over(own), F.lit(1)), "_old": old}).where("_start = 1 or _end = 1")
+        at_end = lambda c: F.when(F.col("_end") == 1, F.col(c)).otherwise(F.lead(c).over(own))
+        found = found.withColumns({"_u": at_end("_n"), "_inserted": ~at_end("_old").eqNullSafe(F.col("_block")), **{f"_c_{c}": at_end(f"_c_{c}") for c in self.payload if c in self.spec.ephemeral}})
+        values = [f"_e_{c}" for c in self.spec.entity] + [f"_c_{c}" for c in self.payload]
+        return found.where("_start = 1").select("_g", F.col("_p").alias("_f"), "_u", "_inserted", *[F.col(f"`{c}`") for c in values])
+
     def _resolved(self, named: bool = False) -> DataFrame:
         """The coalesced pieces, one row for each block: _g, _block, _f, _u, _from (start of the target row that it comes from),
         _e_*, _c_* payload, ... and with `named` row_ids, the source rows behind it."""
@@ -368,9 +396,8 @@ class TemporalMerge:
     @cached_property
     def _after(self) -> DataFrame:
         spec = self.spec
-        rows = self._identified(self._resolved())
-        inserted = F.col("_from").isNull()
-        value = lambda c: F.when(inserted & F.col(f"_c_{c}").isNull(), F.lit(spec.defaults[c])).otherwise(F.col(f"_c_{c}")) if c in spec.defaults else F.col(f"_c_{c}")
+        rows = self._identified(self._coalesced())
+        value = lambda c: F.when(F.col("_inserted") & F.col(f"_c_{c}").isNull(), F.lit(spec.defaults[c])).otherwise(F.col(f"_c_{c}")) if c in spec.defaults else F.col(f"_c_{c}")
         parts = {c: value(c) for c in self.payload} | {spec.f: F.col("_f"), spec.u: F.col("_u")} | {c: F.col(f"_e_{c}") for c in spec.entity}
         if spec.to:
             parts[spec.to] = predecessor(F.col("_u"), self.kind)

@@ -1,4 +1,4 @@
-"""Positions in a total order without a single task that sees all rows."""
+"""Rows dealt for sorting, and positions in a total order without a single task that sees all rows."""
 
 from __future__ import annotations
 
@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.sources.snapshots import settled
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over all shuffle partitions. What a window asks for by itself, adaptive execution deals over fewer tasks, by
+    its compressed size, and repetitive rows take ten times that to sort."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def global_rank(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
     """df with the 0-based position of each row: range partitions rank their own rows and add the rows before them."""
     parts = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))

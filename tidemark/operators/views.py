@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.period import forever, intersection
 from tidemark.operators import intervals
 from tidemark.operators.merge import TemporalMerge, temporal_merge
+from tidemark.operators.ordering import dealt
 
 
 def _value(x: Any, kind=None) -> Column:
@@ -84,5 +85,5 @@ def slices(df: DataFrame, keys: list[str], at: str, values: list[str], tie: list
     one follows at once are dropped."""
     kind = df.schema[at].dataType
     own = Window.partitionBy(*keys).orderBy(at, *(tie or []))
-    rows = df.select(*keys, *values, F.col(at).alias(f), F.coalesce(F.lead(at).over(own), forever(kind)).alias(u))
+    rows = dealt(df, *keys).select(*keys, *values, F.col(at).alias(f), F.coalesce(F.lead(at).over(own), forever(kind)).alias(u))
     return rows.where(F.col(f) < F.col(u))
