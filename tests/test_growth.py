@@ -75,3 +75,23 @@ def test_a_snapshot_sorts_its_pieces_once(spark):
     nameless = target.unionByName(target.limit(1).withColumn("id", F.lit(None).cast("int")))
     after = temporal_merge(nameless, source.unionByName(source.limit(1).withColumns({"id": F.lit(None).cast("int"), "row_id": F.lit(6)})), identity=["id"], ephemeral=["note"], persist=False).target_after
     assert sorted((r["id"] is None, r["note"]) for r in after.collect()) == [(False, "s4"), (False, "s5"), (False, "t2"), (False, "t3"), (True, "s1"), (True, "t1")]
+
+
+def test_what_became_of_rows_that_take_no_part_is_told_without_a_sweep(spark):
+    target = spark.createDataFrame([(1, "k1", "x", D("2020-01-01"), D("2021-01-01")), (2, "twice", "x", D("2020-01-01"), D("2021-01-01")), (3, "twice", "x", D("2020-01-01"), D("2021-01-01")), (4, "k4", "y", D("2020-01-01"), D("2021-01-01"))], "id int, code string, tariff string, valid_from date, valid_until date")
+    source = spark.createDataFrame([
+        (1, "k1", "a", D("2020-02-01"), D("2020-04-01")), (2, "k1", "b", D("2020-01-01"), D("2020-03-01")), (3, "k1", "c", D("2020-03-01"), D("2020-05-01")), (4, "k1", "d", D("2020-06-01"), D("2020-06-01")),
+        (5, "twice", "a", D("2020-01-01"), D("2020-02-01")), (6, "twice", "b", D("2020-01-01"), D("2020-02-01")), (7, "new", "n", D("2020-01-01"), D("2020-02-01")), (8, "new", "n", D("2020-01-01"), D("2020-02-01")), (9, "k4", "y", D("2020-08-01"), D("2020-09-01")),
+    ], "row_id int, code string, tariff string, valid_from date, valid_until date").withColumn("id", F.lit(None).cast("int"))
+    spec = {"identity": ["id"], "natural_keys": [["code"]], "mode": "MERGE_ENTITY_UPSERT", "persist": False}
+    feedback = temporal_merge(target, source, **spec).feedback
+    both = 'Source row is ambiguous. It matches multiple distinct target entities: [{"id":2}, {"id":3}]'
+    eclipsed, applied, ambiguous = ("SKIPPED_ECLIPSED", None), ("APPLIED", None), ("ERROR", both)
+    told = {r["source_row_id"]: r for r in feedback.collect()}
+    assert {i: (r["status"], r["error_message"]) for i, r in told.items()} == {1: eclipsed, 2: applied, 3: applied, 4: ("ERROR", "Planner failed to generate a plan for this source row."), 5: ambiguous, 6: ambiguous, 7: eclipsed, 8: applied, 9: ("SKIPPED_IDENTICAL", None)}
+    assert [told[i]["target_entity_keys"] for i in (1, 2, 4, 5, 7)] == [['{"id":1}'], ['{"id":1}'], [], ['{"id":2}'], ["{}"]]
+    gone = feedback.where("status = 'SKIPPED_ECLIPSED'").select("source_row_id")
+    assert sorted(r[0] for r in gone.collect()) == [1, 7]
+    assert gone._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    skipped = temporal_merge(target, source.withColumn("id", F.lit(9)), identity=["id"], mode="PATCH_FOR_PORTION_OF", persist=False).feedback
+    assert {r["status"] for r in skipped.collect()} == {"SKIPPED_NO_TARGET"}

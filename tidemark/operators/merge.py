@@ -14,6 +14,7 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tidemark.functions.period import allen, forever, is_discrete, predecessor, successor
 from tidemark.operators import sweep
@@ -216,33 +217,32 @@ class TemporalMerge:
             by_identity = F.when(_some([F.col(f"_e_{c}") for c in spec.entity]), F.concat(F.lit("new_entity__"), identity))
             fresh = F.coalesce(by_identity, F.concat(F.lit("new_entity__row_"), F.col("_causal")))
             if spec.natural_keys:
-                joined = joined.join(self._natural_groups(joined), "_rid", "left")
+                joined = self._natural_groups(joined)
                 fresh = F.coalesce(F.col("_natural"), fresh)
         return joined.withColumn("_g", F.when(F.col("_new"), fresh).otherwise(existing)).drop("_natural", "_wrong")
 
     def _natural_groups(self, joined: DataFrame) -> DataFrame:
-        """_rid and _natural for new rows with some natural key: rows that share a key, or are linked by others that do,
-        are of one group."""
+        """joined with _natural for new rows with some natural key: rows that share a key, or are linked by others that do, are
+        of one group."""
         spec = self.spec
-        new = joined.where("_new")
         keys = [k for k in spec.natural_keys if set(k) & set(self.source.columns)]
         if len(keys) == 1:
             columns = [F.col(f"_l_{c}").alias(c) for c in keys[0]]
-            return new.where(_some([F.col(f"_l_{c}") for c in keys[0]])).select("_rid", F.concat(F.lit("new_entity__"), _json(columns)).alias("_natural"))
+            return joined.withColumn("_natural", F.when(F.col("_new") & _some([F.col(f"_l_{c}") for c in keys[0]]), F.concat(F.lit("new_entity__"), _json(columns))))
         values = [F.when(_some([F.col(f"_l_{c}") for c in key]), F.concat(F.lit(f"{i}:"), _json([F.col(f"_l_{c}").alias(c) for c in key]))) for i, key in enumerate(keys)]
-        held = new.select("_rid", F.explode(F.array_compact(F.array(*values))).alias("_value"))
+        held = joined.where("_new").select("_rid", F.explode(F.array_compact(F.array(*values))).alias("_value"))
         first = held.groupBy("_value").agg(F.min("_rid").alias("_first"))
         edges = held.join(first, "_value").select(F.col("_rid").alias("a"), F.col("_first").alias("b"))
         roots = components(edges)
         alone = held.select("_rid").distinct().join(roots, F.col("_rid") == F.col("node"), "left")
-        return alone.select("_rid", F.concat(F.lit("new_entity__key_"), F.coalesce("root", "_rid").cast("string")).alias("_natural"))
+        return joined.join(alone.select("_rid", F.concat(F.lit("new_entity__key_"), F.coalesce("root", "_rid").cast("string")).alias("_natural")), "_rid", "left")
 
     @cached_property
     def judged(self) -> DataFrame:
         """correlated with _skip: null for the rows that take part."""
         spec, rows = self.spec, self.correlated
         if spec.lookup or spec.founding_id:
-            rows = rows.join(self._eclipsed(), "_rid", "left")
+            rows = self._eclipsed(rows)
         else:
             rows = rows.withColumn("_eclipsed", F.lit(None).cast("boolean"))
         skip = F.when(F.col("_error").isNotNull(), "ERROR")
@@ -252,14 +252,15 @@ class TemporalMerge:
             skip = skip.when(F.col("_new"), "SKIP_NO_TARGET")
         return self._hold(rows.withColumn("_skip", skip.when(F.coalesce("_eclipsed", F.lit(False)), "SKIP_ECLIPSED")).drop("_eclipsed"))
 
-    def _eclipsed(self) -> DataFrame:
-        """_rid of rows whose whole period later rows of their key cover: no piece of it has the row as its latest."""
-        rows = self.correlated.where("_error is null and _f < _u")
+    def _eclipsed(self, rows: DataFrame) -> DataFrame:
+        """rows with _eclipsed: later rows of their key cover their whole period, no piece of it has the row as its latest."""
+        live = F.coalesce(F.col("_error").isNull() & (F.col("_f") < F.col("_u")), F.lit(False))
         keys = [F.col(f"_l_{c}").alias(c) for c in self.spec.lookup]
         part = F.coalesce(F.when(_some([F.col(f"_l_{c}") for c in self.spec.lookup]), _json(keys)), F.col("_causal")) if keys else F.col("_causal")
-        rows = rows.select("_rid", "_f", "_u", part.alias("_part"))
-        rows = rows.repartition("_part").sortWithinPartitions("_part")
-        return rows.mapInArrow(sweep.eclipsed(), "_rid long").withColumn("_eclipsed", F.lit(True))
+        # rows that don't count hang together with none
+        marked = rows.withColumns({"_live": live, "_part": F.when(live, part).otherwise(F.concat(F.lit("row "), F.col("_rid").cast("string")))})
+        marked = marked.repartition("_part").sortWithinPartitions("_part")
+        return marked.mapInArrow(sweep.eclipsed(), StructType([*rows.schema.fields, StructField("_eclipsed", BooleanType())]))
 
     # -- the new history --------------------------------------------------------------------------------------------
 
@@ -418,6 +419,20 @@ class TemporalMerge:
         grouping_key. Deletions name the source rows that overlap what they delete. ordered_plan() numbers the rows.
         """
         spec = self.spec
+        kinds = dict(self.target.dtypes)
+        nothing = lambda c, k: F.lit(None).cast(k).alias(c)
+        left_out = self.judged.where("_skip is not null").select(
+            F.array("_rid").alias("row_ids"), F.col("_skip").alias("operation"), nothing("update_effect", "string"), F.col("_causal").alias("causal_id"), F.col("_new").alias("is_new_entity"),
+            *[F.col(f"_e_{c}").alias(c) for c in spec.entity], nothing("s_t_relation", "string"), nothing("b_a_relation", "string"),
+            *[nothing(c, self.kind) for c in ("old_valid_from", "old_valid_until", "new_valid_from", "new_valid_until")],
+            *[nothing(c, kinds[c]) for c in self.payload if c not in spec.entity], F.col("_error").alias("feedback"), F.col("_g").alias("grouping_key"))
+        order = F.when(F.col("operation") == "DELETE", 1).when(F.col("operation") == "UPDATE", F.when(F.col("update_effect").isin("NONE", "SHRINK"), 2).when(F.col("update_effect") == "MOVE", 3).otherwise(4)).when(F.col("operation") == "INSERT", 5).otherwise(6)
+        return self._operations.unionByName(left_out).withColumn("statement_seq", order)
+
+    @cached_property
+    def _operations(self) -> DataFrame:
+        """The operations of the plan, without the source rows that take no part and without statement_seq."""
+        spec = self.spec
         t = self._scope.withColumnsRenamed({f"_e_{c}": f"_te_{c}" for c in spec.entity})
         blocks = self._hold(self._identified(self._resolved(named=True)))
         # a block comes from one target row, with which it is compared, or from none; rows of both sides are dealt once
@@ -455,17 +470,8 @@ class TemporalMerge:
             *[F.col(f"_e_{c}").alias(c) for c in spec.entity], "s_t_relation", F.when(tf.isNotNull() & f.isNotNull(), allen(f, u, tf, tu)).alias("b_a_relation"),
             tf.alias("old_valid_from"), tu.alias("old_valid_until"), f.alias("new_valid_from"), u.alias("new_valid_until"),
             *[keep(c).alias(c) for c in self.payload if c not in spec.entity], F.lit(None).cast("string").alias("feedback"), F.col("_g").alias("grouping_key"))
-        kinds = dict(self.target.dtypes)
-        nothing = lambda c, k: F.lit(None).cast(k).alias(c)
-        left_out = self.judged.where("_skip is not null").select(
-            F.array("_rid").alias("row_ids"), F.col("_skip").alias("operation"), nothing("update_effect", "string"), F.col("_causal").alias("causal_id"), F.col("_new").alias("is_new_entity"),
-            *[F.col(f"_e_{c}").alias(c) for c in spec.entity], nothing("s_t_relation", "string"), nothing("b_a_relation", "string"),
-            *[nothing(c, self.kind) for c in ("old_valid_from", "old_valid_until", "new_valid_from", "new_valid_until")],
-            *[nothing(c, kinds[c]) for c in self.payload if c not in spec.entity], F.col("_error").alias("feedback"), F.col("_g").alias("grouping_key"))
-        order = F.when(F.col("operation") == "DELETE", 1).when(F.col("operation") == "UPDATE", F.when(F.col("update_effect").isin("NONE", "SHRINK"), 2).when(F.col("update_effect") == "MOVE", 3).otherwise(4)).when(F.col("operation") == "INSERT", 5).otherwise(6)
-        planned = done.unionByName(left_out).withColumn("statement_seq", order)
         # one join away from the settled blocks and target rows, so a result that needs a few of its columns reads just these
-        return planned if self._persist == "settled" else self._hold(planned)
+        return done if self._persist == "settled" else self._hold(done)
 
     def ordered_plan(self) -> DataFrame:
         """plan, sorted, with plan_op_seq."""
@@ -477,17 +483,16 @@ class TemporalMerge:
     @cached_property
     def feedback(self) -> DataFrame:
         """source_row_id, target_entity_keys (JSON, sorted), status and error_message: one row for each source row."""
-        entity = _json([F.col(c) for c in self.spec.entity])
-        ops = self.plan.select(F.explode("row_ids").alias("_rid"), "operation", F.col("feedback").alias("_text"), entity.alias("_key"))
-        seen = ops.groupBy("_rid").agg(F.collect_set("operation").alias("_ops"), F.max("_text").alias("_text"), F.array_sort(F.collect_set("_key")).alias("_keys"))
-        has = lambda *names: F.arrays_overlap("_ops", F.array(*map(F.lit, names)))
-        status = (
-            F.when(F.col("_ops").isNull() | has("ERROR"), "ERROR").when(has("INSERT", "UPDATE", "DELETE"), "APPLIED").when(has("SKIP_NO_TARGET"), "SKIPPED_NO_TARGET")
-            .when(has("SKIP_FILTERED"), "SKIPPED_FILTERED").when(has("SKIP_ECLIPSED"), "SKIPPED_ECLIPSED").otherwise("SKIPPED_IDENTICAL")
-        )
-        rows = self.judged.select("_rid").join(seen, "_rid", "left")
-        message = F.when(F.col("_ops").isNull(), NO_PLAN).when(has("ERROR"), F.col("_text"))
-        return rows.select(F.col("_rid").alias("source_row_id"), F.coalesce("_keys", F.array().cast("array<string>")).alias("target_entity_keys"), status.alias("status"), message.alias("error_message"))
+        entity = self.spec.entity
+        ops = self._operations.select(F.explode("row_ids").alias("_rid"), (F.col("operation") != "SKIP_IDENTICAL").alias("_does"), _json([F.col(c) for c in entity]).alias("_key"))
+        seen = ops.groupBy("_rid").agg(F.max("_does").alias("_does"), F.array_sort(F.collect_set("_key")).alias("_keys"))
+        done = F.when(F.col("_does").isNull(), "ERROR").when(F.col("_does"), "APPLIED").otherwise("SKIPPED_IDENTICAL")
+        rows = self.judged.where("_skip is null").select("_rid").join(seen, "_rid", "left")
+        rows = rows.select("_rid", F.coalesce("_keys", F.array().cast("array<string>")).alias("_keys"), done.alias("_status"), F.when(F.col("_does").isNull(), NO_PLAN).alias("_text"))
+        # rows that take no part are in no operation: what became of them is known before there is one
+        skipped = F.when(F.col("_skip") == "ERROR", "ERROR").when(F.col("_skip") == "SKIP_NO_TARGET", "SKIPPED_NO_TARGET").when(F.col("_skip") == "SKIP_FILTERED", "SKIPPED_FILTERED").otherwise("SKIPPED_ECLIPSED")
+        left_out = self.judged.where("_skip is not null").select("_rid", F.array(_json([F.col(f"_e_{c}").alias(c) for c in entity])).alias("_keys"), skipped.alias("_status"), F.col("_error").alias("_text"))
+        return rows.unionByName(left_out).select(F.col("_rid").alias("source_row_id"), F.col("_keys").alias("target_entity_keys"), F.col("_status").alias("status"), F.col("_text").alias("error_message"))
 
     @cached_property
     def source_with_identity(self) -> DataFrame:

@@ -46,13 +46,16 @@ def covering(f: list, u: list, ids: list, points: list) -> list[list]:
     return out
 
 
-def whole_groups(key: str, work: Callable[[pa.Table, list[tuple[int, int]]], pa.RecordBatch | None]):
+def whole_groups(key: str, work: Callable[[pa.Table, list[tuple[int, int]]], pa.Table | pa.RecordBatch]):
     """For mapInArrow over rows sorted by key: work(rows, [(start, stop) of each group]) for portions of whole groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def portion(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, int]:
+        def batches_of(made: pa.Table | pa.RecordBatch) -> list[pa.RecordBatch]:
+            return made.to_batches() if isinstance(made, pa.Table) else [made]
+
+        def portion(rows: pa.Table, last: bool) -> tuple[pa.Table | pa.RecordBatch | None, int]:
             keys = rows.column(key).combine_chunks()
             changes = pc.indices_nonzero(pc.not_equal(keys[1:], keys[:-1])).to_pylist()
             starts = [0, *(i + 1 for i in changes)]
@@ -68,11 +71,11 @@ def whole_groups(key: str, work: Callable[[pa.Table, list[tuple[int, int]]], pa.
                 made, done = portion(rows, False)
                 held = rows.slice(done).to_batches()
                 if made is not None:
-                    yield made
+                    yield from batches_of(made)
         if held:
             made, _ = portion(pa.Table.from_batches(held).combine_chunks(), True)
             if made is not None:
-                yield made
+                yield from batches_of(made)
 
     return run
 
@@ -94,16 +97,20 @@ def taken(column: pa.ChunkedArray, at: list[int]) -> pa.Array:
 
 
 def eclipsed():
-    """From _part, _rid, _f, _u: the _rid of rows that are on no piece of their part's time the one of highest _rid."""
+    """From _part, _live, _rid, _f, _u and any other columns: these others and those three with _eclipsed, whether a live row is
+    on no piece of its part's time the one of highest _rid."""
 
-    def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
-        f, u, rid = comparable(rows.column("_f")), comparable(rows.column("_u")), rows.column("_rid").to_pylist()
-        gone = []
+    def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        f, u, rid, live = comparable(rows.column("_f")), comparable(rows.column("_u")), rows.column("_rid").to_pylist(), rows.column("_live").to_pylist()
+        gone = [False] * groups[-1][1]
         for i, j in groups:
-            if j - i > 1:
-                seen = latest(f[i:j], u[i:j], rid[i:j], sorted({*f[i:j], *u[i:j]}))
-                gone.extend(rid[i + k] for k in set(range(j - i)).difference(seen))
-        return pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["_rid"])
+            some = [k for k in range(i, j) if live[k]] if j - i > 1 else []
+            if len(some) > 1:
+                at, to = [f[k] for k in some], [u[k] for k in some]
+                seen = latest(at, to, [rid[k] for k in some], sorted({*at, *to}))
+                for x in set(range(len(some))).difference(seen):
+                    gone[some[x]] = True
+        return rows.slice(0, len(gone)).drop_columns(["_part", "_live"]).append_column("_eclipsed", pa.array(gone, pa.bool_()))
 
     return whole_groups("_part", work)
 

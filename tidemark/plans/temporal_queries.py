@@ -491,14 +491,14 @@ def required_and_defaults(spark, sf_dir):
     return held.target_after.drop("note")
 
 
-def keyed_merge(spark: SparkSession, sf_dir: str) -> TemporalMerge:
+def keyed_merge(spark: SparkSession, sf_dir: str, persist: bool | str = "settled") -> TemporalMerge:
     """Customers found by name and segment or by name and nation, corrected by events under the user's number."""
     customers = _read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("code"), F.col("c_nationkey").cast("string").alias("status"), F.lit("2024-01-01").cast("date").alias("valid_from"), F.lit("9999-12-31").cast("date").alias("valid_until"))
     events = _read(spark, sf_dir, "events").select(
         F.col("event_id").alias("row_id"), F.lit(None).cast("long").alias("id"), F.format_string("Customer#%09d", "user_id").alias("name"), F.lit(None).cast("string").alias("code"),
         F.col("event_type").alias("status"), F.to_date("ts").alias("valid_from"), F.date_add(F.to_date("ts"), 2).alias("valid_until"))
-    return temporal_merge(customers, events, identity=["id"], natural_keys=[["name"]], mode="MERGE_ENTITY_UPSERT", persist="settled")
+    return temporal_merge(customers, events, identity=["id"], natural_keys=[["name"]], mode="MERGE_ENTITY_UPSERT", persist=persist)
 
 
 COVERED = """WITH ev AS (SELECT event_id AS row_id, user_id AS id, event_type AS status, CAST(ts AS DATE) AS f, CAST(ts AS DATE) + 2 AS u FROM events),
@@ -507,7 +507,7 @@ COVERED = """WITH ev AS (SELECT event_id AS row_id, user_id AS id, event_type AS
 
 @query("eclipsed_rows", f"{COVERED} SELECT row_id AS source_row_id FROM ev WHERE row_id NOT IN (SELECT row_id FROM latest)")
 def eclipsed_rows(spark, sf_dir):
-    return keyed_merge(spark, sf_dir).feedback.where("status = 'SKIPPED_ECLIPSED'").select("source_row_id")
+    return keyed_merge(spark, sf_dir, persist=False).feedback.where("status = 'SKIPPED_ECLIPSED'").select("source_row_id")
 
 
 @query("natural_key_lookup", "SELECT event_id AS row_id, c_custkey AS id FROM events JOIN customer ON c_name = format('Customer#{:09d}', user_id)")
